@@ -177,3 +177,182 @@ def q_avg_accept(spark, sf):
 @register("avg_complete", oracle=_delay_sql("completed"))
 def q_avg_complete(spark, sf):
     return daily.avg_delay(fx(spark, sf).orders_status, AS_OF, "completed")
+
+
+# -- history (F) -------------------------------------------------------------
+from orderflow.operators import history, riders, menu  # noqa: E402
+from orderflow.plans.catalog import YEAR, RIDER, RIDER_NAME, MONTH_START  # noqa: E402
+
+_IN_YEAR = "EXTRACT(YEAR FROM {c}) = 1998"
+
+
+@register("yearly_orders", oracle=f"""
+SELECT CAST(EXTRACT(MONTH FROM event_timestamp) AS INTEGER) AS month, COUNT(*) AS num_orders
+FROM f_orders_status
+WHERE status = 'pending' AND {_IN_YEAR.format(c='event_timestamp')}
+GROUP BY EXTRACT(MONTH FROM event_timestamp)
+""", headline=True)
+def q_yearly_orders(spark, sf):
+    return history.yearly_orders(fx(spark, sf).orders_status, YEAR)
+
+
+_REVENUE_SQL = f"""
+SELECT CAST(EXTRACT(MONTH FROM a.event_timestamp) AS INTEGER) AS month,
+       CAST(SUM(b.total_amount) AS DECIMAL(20,2)) AS revenue
+FROM f_orders_status a LEFT JOIN f_orders b ON a.order_id = b.order_id
+WHERE a.status = 'pending' AND {_IN_YEAR.format(c='a.event_timestamp')}
+GROUP BY EXTRACT(MONTH FROM a.event_timestamp)"""
+
+
+@register("yearly_revenue", oracle=_REVENUE_SQL)
+def q_yearly_revenue(spark, sf):
+    f = fx(spark, sf)
+    return history.yearly_revenue(f.orders_status, f.orders, YEAR)
+
+
+@register("region_orders", oracle=f"""
+SELECT CAST(EXTRACT(MONTH FROM a.event_timestamp) AS INTEGER) AS month, b.delivery_city,
+       COUNT(*) AS num_orders
+FROM f_orders_status a LEFT JOIN f_orders b ON a.order_id = b.order_id
+WHERE a.status = 'pending' AND {_IN_YEAR.format(c='a.event_timestamp')}
+GROUP BY EXTRACT(MONTH FROM a.event_timestamp), b.delivery_city
+""")
+def q_region_orders(spark, sf):
+    f = fx(spark, sf)
+    return history.region_orders(f.orders_status, f.orders, YEAR)
+
+
+@register("year_bounds", oracle="""
+SELECT CAST(EXTRACT(YEAR FROM MIN(event_timestamp)) AS INTEGER) AS min_year,
+       CAST(EXTRACT(YEAR FROM MAX(event_timestamp)) AS INTEGER) AS max_year
+FROM f_orders_status WHERE status = 'pending'
+""")
+def q_year_bounds(spark, sf):
+    return history.year_bounds(fx(spark, sf).orders_status)
+
+
+@register("year_list", oracle="""
+WITH b AS (SELECT CAST(EXTRACT(YEAR FROM MIN(event_timestamp)) AS INTEGER) AS lo,
+                  CAST(EXTRACT(YEAR FROM MAX(event_timestamp)) AS INTEGER) AS hi
+           FROM f_orders_status WHERE status = 'pending')
+SELECT CAST(y AS INTEGER) AS year FROM b, range(b.lo, b.hi + 1) t(y)
+""")
+def q_year_list(spark, sf):
+    return history.year_list(fx(spark, sf).orders_status)
+
+
+@register("yearly_summary", oracle=f"""
+WITH o AS (SELECT CAST(EXTRACT(MONTH FROM event_timestamp) AS INTEGER) AS month, CAST(COUNT(*) AS DOUBLE) AS num_orders
+           FROM f_orders_status WHERE status = 'pending' AND {_IN_YEAR.format(c='event_timestamp')}
+           GROUP BY 1),
+     r AS (SELECT month, CAST(revenue AS DOUBLE) AS revenue FROM ({_REVENUE_SQL}) x),
+     b AS (SELECT coalesce(o.month, r.month) AS month, o.num_orders, r.revenue FROM o FULL JOIN r ON o.month = r.month)
+SELECT month, round(num_orders, 6) AS num_orders, round(revenue, 6) AS revenue,
+       round((SELECT max(num_orders) FROM b) * 1.1, 6) AS orders_max,
+       round((SELECT max(revenue) FROM b) * 1.1, 6) AS revenues_max
+FROM b
+""")
+def q_yearly_summary(spark, sf):
+    f = fx(spark, sf)
+    return history.yearly_summary(f.orders_status, f.orders, YEAR)
+
+
+# -- riders (G) --------------------------------------------------------------
+
+@register("n_riders", oracle="SELECT COUNT(DISTINCT rider_id) AS n_riders FROM f_riders")
+def q_n_riders(spark, sf):
+    return riders.n_riders(fx(spark, sf).riders)
+
+
+@register("riders_list", oracle="SELECT rider_id, name FROM f_riders")
+def q_riders_list(spark, sf):
+    return riders.riders_list(fx(spark, sf).riders)
+
+
+@register("rider_by_name", oracle=f"SELECT MIN(rider_id) AS rider_id FROM f_riders WHERE name = '{RIDER_NAME}'")
+def q_rider_by_name(spark, sf):
+    return riders.rider_id_by_name(fx(spark, sf).riders, RIDER_NAME)
+
+
+@register("rider_status_matrix", oracle=f"""
+SELECT a.name, status_values.status, COUNT(b.order_id) AS count_orders
+FROM f_riders a
+CROSS JOIN (SELECT 'accepted' AS status UNION ALL SELECT 'denied' UNION ALL SELECT 'completed') AS status_values
+LEFT JOIN f_orders_status b ON a.rider_id = b.rider_id AND b.status = status_values.status
+                           AND CAST(b.event_timestamp AS DATE) = {DAY}
+GROUP BY a.name, status_values.status
+""", headline=True)
+def q_rider_status_matrix(spark, sf):
+    f = fx(spark, sf)
+    return riders.rider_status_matrix(f.orders_status, f.riders, AS_OF)
+
+
+_RIDER_DAILY_SQL = f"""
+SELECT CAST(time_series AS DATE) AS day,
+       COUNT(CASE WHEN b.status = 'completed' THEN 1 END) AS completed_order_count,
+       COUNT(CASE WHEN b.status = 'denied' THEN 1 END) AS denied_order_count
+FROM generate_series(DATE '1998-06-01', {DAY}, INTERVAL '1 day') AS g(time_series)
+LEFT JOIN f_orders_status AS b
+  ON CAST(b.event_timestamp AS DATE) = CAST(time_series AS DATE) AND b.rider_id = {RIDER}
+GROUP BY time_series"""
+
+
+@register("rider_daily", oracle=_RIDER_DAILY_SQL, headline=True)
+def q_rider_daily(spark, sf):
+    return riders.rider_daily(fx(spark, sf).orders_status, RIDER, MONTH_START, AS_OF)
+
+
+@register("rider_daily_long", oracle=f"""
+WITH d AS ({_RIDER_DAILY_SQL})
+SELECT day, 'completed_order_count' AS variable, completed_order_count AS value FROM d
+UNION ALL
+SELECT day, 'denied_order_count', denied_order_count FROM d
+""")
+def q_rider_daily_long(spark, sf):
+    return riders.rider_daily_long(riders.rider_daily(fx(spark, sf).orders_status, RIDER, MONTH_START, AS_OF))
+
+
+# -- menu (A2-A4, H) -----------------------------------------------------------
+
+@register("menu_full", oracle="SELECT * FROM f_menu_items")
+def q_menu_full(spark, sf):
+    return menu.menu_full(fx(spark, sf).menu_items)
+
+
+@register("menu_listing", oracle="SELECT item_id, name, category FROM f_menu_items")
+def q_menu_listing(spark, sf):
+    return menu.menu_listing(fx(spark, sf).menu_items)
+
+
+@register("menu_by_kind", oracle="""
+SELECT item_id, name, category, CASE WHEN category = 'Drink' THEN 'drink' ELSE 'food' END AS kind
+FROM f_menu_items
+""")
+def q_menu_by_kind(spark, sf):
+    return menu.menu_by_kind(fx(spark, sf).menu_items)
+
+
+@register("category_counts", oracle="""
+SELECT category, COUNT(*) AS count FROM f_menu_items WHERE category IS NOT NULL GROUP BY category
+""")
+def q_category_counts(spark, sf):
+    return menu.category_counts(fx(spark, sf).menu_items)
+
+
+@register("price_counts", oracle="SELECT price, COUNT(*) AS count FROM f_menu_items GROUP BY price")
+def q_price_counts(spark, sf):
+    return menu.price_counts(fx(spark, sf).menu_items)
+
+
+@register("price_density", oracle="""
+WITH p AS (SELECT CAST(price AS DOUBLE) AS x FROM f_menu_items WHERE price IS NOT NULL),
+s AS (SELECT min(x) AS lo, max(x) AS hi, COUNT(*) AS n,
+             stddev_samp(x) * pow(CAST(COUNT(*) AS DOUBLE), -0.2) AS h FROM p),
+g AS (SELECT CAST(k AS INTEGER) AS point, lo + (k * (hi - lo)) / 500 AS gx FROM s, range(500) t(k)),
+d AS (SELECT x, COUNT(*) AS c FROM p GROUP BY x)
+SELECT point, round(gx, 6) AS x,
+       round(SUM(c * exp(-0.5 * ((gx - d.x) / s.h) * ((gx - d.x) / s.h))) / (s.n * s.h * sqrt(2 * pi())), 6) AS density
+FROM g, d, s GROUP BY point, gx, s.n, s.h
+""", headline=True)
+def q_price_density(spark, sf):
+    return menu.price_density(fx(spark, sf).menu_items)
