@@ -29,6 +29,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 REGISTRY: dict[str, QueryFn] = {}
 ORACLE: dict[str, str] = {}
+ORACLE_RAW: dict[str, str] = {}
 HEADLINE: list[str] = []
 
 
@@ -38,6 +39,7 @@ def register(name: str, oracle: str | None = None, headline: bool = False):
             raise ValueError(f"duplicate query {name}")
         REGISTRY[name] = fn
         if oracle is not None:
+            ORACLE_RAW[name] = oracle
             ORACLE[name] = with_fixtures(oracle)
         if headline:
             HEADLINE.append(name)

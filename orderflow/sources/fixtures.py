@@ -187,36 +187,15 @@ class Fixtures:
 
     @cached_property
     def responses(self) -> DataFrame:
-        e = self.table("events")
-        return (e.filter(F.col("event_type").isin("click", "error"))
-                 .select(F.col("event_id").alias("response_id"),
-                         (F.col("event_id") % 1000).alias("order_id"),
-                         (1 + F.col("user_id") % 4).cast("int").alias("rider_id"),
-                         F.when(F.col("event_type") == "click", "accepted").otherwise("denied").alias("status"),
-                         F.col("ts").alias("event_timestamp")))
+        return responses_from(self.table("events"))
 
     @cached_property
     def decisions(self) -> DataFrame:
-        e = self.table("events")
-        decision = (F.when(F.col("event_type") == "click", "Yes")
-                    .when(F.col("event_type") == "error", "NO")
-                    .when(F.col("event_type") == "view", "maybe")
-                    .when(F.col("event_type") == "signup", "yes")
-                    .otherwise("no"))
-        return e.select(F.col("event_id").alias("response_id"),
-                        (F.col("event_id") % 1000).alias("order_id"),
-                        (1 + F.col("user_id") % 4).cast("int").alias("rider_id"),
-                        decision.alias("decision"),
-                        F.col("ts").alias("event_timestamp"))
+        return decisions_from(self.table("events"))
 
     @cached_property
     def positions(self) -> DataFrame:
-        e = self.table("events")
-        return e.select("event_id",
-                        F.lpad((F.col("user_id") % 5).cast("string"), 5, "0").alias("busline"),
-                        F.col("ts").alias("position_ts"),
-                        (51.5 + F.col("value") / 10000).alias("latitude"),
-                        (-0.1 - F.col("value") / 10000).alias("longitude"))
+        return positions_from(self.table("events"))
 
     @cached_property
     def legacy_orders(self) -> DataFrame:
@@ -231,3 +210,38 @@ class Fixtures:
                          F.floor(F.col("o_totalprice")).cast("int").alias("cost"),
                          _plus_seconds(F.col("o_orderdate"), (F.col("o_orderkey") * 7919) % 86400).alias("time"),
                          F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("order_completed")))
+
+
+# -- mappings of the event table (shared by batch views and streams) ----------
+
+def responses_from(e: DataFrame) -> DataFrame:
+    """Rider responses: click -> accepted, error -> denied."""
+    return (e.filter(F.col("event_type").isin("click", "error"))
+             .select(F.col("event_id").alias("response_id"),
+                     (F.col("event_id") % 1000).alias("order_id"),
+                     (1 + F.col("user_id") % 4).cast("int").alias("rider_id"),
+                     F.when(F.col("event_type") == "click", "accepted").otherwise("denied").alias("status"),
+                     F.col("ts").alias("event_timestamp")))
+
+
+def decisions_from(e: DataFrame) -> DataFrame:
+    """Raw typed decisions (mixed case, some invalid)."""
+    decision = (F.when(F.col("event_type") == "click", "Yes")
+                .when(F.col("event_type") == "error", "NO")
+                .when(F.col("event_type") == "view", "maybe")
+                .when(F.col("event_type") == "signup", "yes")
+                .otherwise("no"))
+    return e.select(F.col("event_id").alias("response_id"),
+                    (F.col("event_id") % 1000).alias("order_id"),
+                    (1 + F.col("user_id") % 4).cast("int").alias("rider_id"),
+                    decision.alias("decision"),
+                    F.col("ts").alias("event_timestamp"))
+
+
+def positions_from(e: DataFrame) -> DataFrame:
+    """Vehicle positions: five lines ``00000``..``00004``."""
+    return e.select("event_id",
+                    F.lpad((F.col("user_id") % 5).cast("string"), 5, "0").alias("busline"),
+                    F.col("ts").alias("position_ts"),
+                    (51.5 + F.col("value") / 10000).alias("latitude"),
+                    (-0.1 - F.col("value") / 10000).alias("longitude"))
