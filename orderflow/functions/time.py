@@ -63,3 +63,29 @@ def format_delay(seconds: Column) -> Column:
     minutes = F.floor(s / 60)
     secs = F.floor(F.pmod(s, F.lit(60.0)))
     return F.concat(minutes.cast("string"), F.lit("'"), secs.cast("string"), F.lit("''"))
+
+
+def day_slice(df, as_of: dt.date, ts: str = "event_timestamp"):
+    """Rows of one day; also prunes ``event_date`` partitions when the log is laid out by day."""
+    out = df.filter(on_day(ts, as_of))
+    if "event_date" in df.columns:
+        out = out.filter(F.col("event_date") == F.lit(as_of))
+    return out
+
+
+def range_slice(df, start: dt.date, end: dt.date, ts: str = "event_timestamp"):
+    """Rows with ``start <= ts < end + 1 day``; prunes ``event_date`` partitions when present."""
+    col = F.col(ts)
+    out = df.filter((col >= _ntz(start)) & (col < _ntz(end + dt.timedelta(days=1))))
+    if "event_date" in df.columns:
+        out = out.filter((F.col("event_date") >= F.lit(start)) & (F.col("event_date") <= F.lit(end)))
+    return out
+
+
+def year_slice(df, year: int, ts: str = "event_timestamp"):
+    """Rows of one year; prunes ``event_date`` partitions when present."""
+    out = df.filter(in_year(ts, year))
+    if "event_date" in df.columns:
+        out = out.filter((F.col("event_date") >= F.lit(dt.date(year, 1, 1)))
+                         & (F.col("event_date") < F.lit(dt.date(year + 1, 1, 1))))
+    return out

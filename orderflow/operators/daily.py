@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions.time import day_range, epoch_micros, format_delay, on_day
+from orderflow.functions.time import day_range, day_slice, epoch_micros, format_delay
 from orderflow.functions.stats import round6, share_of_total
 from orderflow.schemas import N_RIDERS
 
@@ -34,7 +34,7 @@ def order_status_stats(events: DataFrame, as_of: dt.date | None = None) -> DataF
     aggregate per order.  This replaces two ``COUNT(DISTINCT CASE ...)``
     which Spark would evaluate by duplicating every input row via ``Expand``.
     """
-    ev = events if as_of is None else events.filter(on_day("event_timestamp", as_of))
+    ev = events if as_of is None else day_slice(events, as_of)
     triples = (ev.groupBy("order_id", "status", "rider_id")
                  .agg(F.count(F.lit(1)).alias("n")))
     rider_known = F.col("rider_id").isNotNull()
@@ -139,7 +139,7 @@ def _order_weights(events: DataFrame, as_of: dt.date, status: str | None) -> Dat
     SQL's multiplicity (each line counted once per matching event row) while
     the big side joins a frame with one row per order.
     """
-    ev = events.filter(on_day("event_timestamp", as_of))
+    ev = day_slice(events, as_of)
     if status is not None:
         ev = ev.filter(F.col("status") == status)
     return ev.groupBy("order_id").agg(F.count(F.lit(1)).alias("w"))
@@ -213,7 +213,7 @@ def orders_by_slot(events: DataFrame, as_of: dt.date, slot_minutes: int = 15,
     spark = events.sparkSession
     spine = spark.range(n_slots).select(
         F.timestamp_add("MINUTE", F.col("id") * slot_minutes, lo).alias("time_window"))
-    ev = events.filter(on_day("event_timestamp", as_of) & (F.col("status") == status))
+    ev = day_slice(events, as_of).filter(F.col("status") == status)
     minutes = F.timestamp_diff("MINUTE", lo, F.col("event_timestamp"))
     counts = (ev.select(F.timestamp_add("MINUTE", F.floor(minutes / slot_minutes) * slot_minutes, lo)
                         .alias("time_window"))
@@ -236,7 +236,7 @@ def avg_delay(events: DataFrame, as_of: dt.date, status: str) -> DataFrame:
     pend = (events.filter(F.col("status") == "pending")
             .groupBy("order_id")
             .agg(F.count(F.lit(1)).alias("np"), F.sum(epoch_micros("event_timestamp")).alias("sp")))
-    tgt = (events.filter((F.col("status") == status) & on_day("event_timestamp", as_of))
+    tgt = (day_slice(events, as_of).filter(F.col("status") == status)
            .select("order_id", epoch_micros("event_timestamp").alias("a")))
     agg = (tgt.join(pend, "order_id")
            .agg(F.sum(F.col("a") * F.col("np") - F.col("sp")).alias("num"),

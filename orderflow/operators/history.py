@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions.time import in_year
+from orderflow.functions.time import year_slice
 from orderflow.functions.stats import round6
 
 
 def _year_events(events: DataFrame, year: int, status: str | None) -> DataFrame:
     # Range predicate on the raw column (pushable), not year(ts) = y.
-    ev = events.filter(in_year("event_timestamp", year))
+    ev = year_slice(events, year)
     if status is not None:
         ev = ev.filter(F.col("status") == status)
     return ev

@@ -165,16 +165,22 @@ def rider_orders(events: DataFrame, orders: DataFrame, rider_id: int) -> DataFra
     order has any completion (anti join).
     """
     mine = events.filter((F.col("rider_id") == rider_id) & F.col("status").isin("accepted", "completed"))
-    done = events.filter(F.col("status") == "completed").select("order_id")
+    # Everything else is needed only for this rider's orders: restrict the
+    # log to those ids first (a semi join whose small side AQE broadcasts),
+    # so the whole log is never shuffled for one rider's view.
+    ids = mine.select("order_id").distinct()
+    log = events.join(ids, "order_id", "left_semi")
+    done = log.filter(F.col("status") == "completed").select("order_id")
     mine = (mine.filter(F.col("status") == "accepted").join(done, "order_id", "left_anti")
             .unionByName(mine.filter(F.col("status") == "completed")))
-    created = events.filter(F.col("status") == "pending").select(
+    created = log.filter(F.col("status") == "pending").select(
         "order_id", F.col("event_timestamp").alias("order_creation_timestamp"))
-    accepted_at = (events.filter(F.col("status") == "accepted")
+    accepted_at = (log.filter(F.col("status") == "accepted")
                    .groupBy("order_id").agg(F.min("event_timestamp").alias("acc_ts")))
+    totals = orders.select("order_id", "total_amount").join(ids, "order_id", "left_semi")
     return (mine.join(created, "order_id")
             .join(accepted_at, "order_id", "left")
-            .join(orders.select("order_id", "total_amount"), "order_id", "left")
+            .join(totals, "order_id", "left")
             .select("order_id", "rider_id", "status", "order_creation_timestamp",
                     F.when(F.col("status") == "accepted", F.col("event_timestamp"))
                      .otherwise(F.col("acc_ts")).alias("order_acceptance_timestamp"),

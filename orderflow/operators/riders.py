@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions.time import on_day, day_start
+from orderflow.functions.time import day_slice, range_slice
 
 RIDER_STATUSES = ("accepted", "denied", "completed")
 
@@ -37,7 +37,7 @@ def rider_status_matrix(events: DataFrame, riders: DataFrame, as_of: dt.date,
     array per rider, not from a product of frames.  Riders sharing a name
     are merged, as in the original grouping by name (T18).
     """
-    counts = (events.filter(on_day("event_timestamp", as_of) & F.col("status").isin(*statuses))
+    counts = (day_slice(events, as_of).filter(F.col("status").isin(*statuses))
               .groupBy("rider_id", "status")
               .agg(F.count("order_id").alias("c")))
     grid = riders.select("rider_id", "name",
@@ -56,10 +56,7 @@ def rider_daily(events: DataFrame, rider_id: int, start: dt.date, end: dt.date)
     spark = events.sparkSession
     n_days = (end - start).days + 1
     spine = spark.range(max(n_days, 0)).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("day"))
-    lo = day_start(start)
-    hi = day_start(end + dt.timedelta(days=1))
-    ev = events.filter((F.col("rider_id") == rider_id) & (F.col("event_timestamp") >= lo)
-                       & (F.col("event_timestamp") < hi))
+    ev = range_slice(events, start, end).filter(F.col("rider_id") == rider_id)
     per_day = (ev.groupBy(F.to_date("event_timestamp").alias("day"))
                .agg(F.count(F.when(F.col("status") == "completed", 1)).alias("c"),
                     F.count(F.when(F.col("status") == "denied", 1)).alias("d")))

@@ -51,3 +51,15 @@ def test_year_filter_pushed_to_scan(spark, log_table):
 def test_slot_series_is_an_equi_join(spark, log_table):
     p = plan_of(daily.orders_by_slot(log_table, dt.date(1998, 6, 15)))
     assert "BroadcastHashJoin" in p and "NestedLoop" not in p
+
+
+def test_day_partitioned_log_prunes_and_agrees(spark, log_table):
+    from orderflow.sources.layout import write_event_log
+    path = scratch_path(spark, "log-by-day")
+    write_event_log(catalog.fx(spark, SF_SMALL).orders_status, path, mode="overwrite")
+    by_day = spark.read.parquet(path)
+    day = dt.date(1998, 6, 15)
+    p = plan_of(daily.daily_status(by_day, day))
+    assert "PartitionFilters: [isnotnull(event_date" in p and "(event_date" in p
+    assert daily.daily_status(by_day, day).collect() == daily.daily_status(log_table, day).collect()
+    assert (history.yearly_orders(by_day, 1998).collect() == history.yearly_orders(log_table, 1998).collect())
