@@ -37,13 +37,18 @@ def table_stream(spark: SparkSession, path: str, schema: T.StructType, ts_cols:
 
 def run_available_now(stream: DataFrame, name: str, *, mode: str = "append",
                       checkpoint: str | None = None, out: str | None = None,
-                      foreach_batch=None) -> DataFrame:
+                      foreach_batch=None, keys: list[str] | None = None) -> DataFrame:
     """Process everything available, stop, and return the sink's content.
 
     * ``append``: parquet file sink (exactly-once through its metadata log).
     * ``complete``: every micro-batch carries the full result; it is written
       to ``<out>/epoch=<id>`` (re-running an epoch overwrites the same
       folder) and the last epoch is returned.
+    * ``update`` (with ``keys``): each micro-batch carries only the groups
+      it changed; they are appended to a changelog (``changelog_batch``)
+      and the newest row per key is returned.  With a watermark the state
+      store drops finished groups, so neither state nor sink writes grow
+      with the whole result.
     * ``foreach_batch``: a custom ``(df, epoch_id, out)`` writer; the
       content of ``out`` is returned.
     """
@@ -57,6 +62,20 @@ def run_available_now(stream: DataFrame, name: str, *, mode: str = "append",
              .trigger(availableNow=True).start())
         q.awaitTermination()
         return _read_or_empty(spark, out, None)
+    if mode == "update":
+        from orderflow.streaming.sinks import changelog_batch, read_latest
+        wrote: list[int] = []
+
+        def write_changes(df: DataFrame, epoch_id: int) -> None:
+            changelog_batch(df, epoch_id, out)
+            wrote.append(epoch_id)
+
+        q = (stream.writeStream.foreachBatch(write_changes).outputMode("update")
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        q.awaitTermination()
+        if not wrote:
+            return spark.createDataFrame([], schema)
+        return read_latest(spark, out, keys or [])
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", checkpoint).outputMode("append")

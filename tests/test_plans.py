@@ -12,7 +12,7 @@ from orderflow.plans import catalog
 from orderflow.session import scratch_path
 from tests.conftest import SF_SMALL
 
-BATCH = [n for n in entry.queries() if not n.startswith("stream_") and n not in ("route_points",)]
+BATCH = [n for n in entry.queries() if not n.startswith("stream_") and n not in ("route_points", "gate_stream")]
 
 
 def plan_of(df) -> str:
