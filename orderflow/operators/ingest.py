@@ -43,27 +43,46 @@ def price_lines(lines: DataFrame, menu: DataFrame) -> DataFrame:
             .withColumn("subtotal", (F.col("price") * F.col("quantity")).cast("decimal(10,2)")))
 
 
+HEADER = ("email", "phone_number", "city", "order_created_timestamp")
+
+
 def split_requests(requests: DataFrame, menu: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """B1 + B10: (accepted requests, priced lines of accepted orders, rejected).
+    """B1 + B10: (accepted orders with totals, priced lines of accepted orders, rejected).
 
     An order is lost whole when any of its lines has an unknown item or a
     NULL quantity, like the original's failing transaction (T20).
     ``rejected`` has ``order_id, reason`` with reason ``invalid_request``,
     ``unknown_item`` or ``null_quantity`` (first that applies).
+
+    One pass: every request is exploded once (``explode_outer`` keeps
+    requests without items), lines are priced by one join with the menu,
+    and a single aggregate per order yields the verdict, the header fields
+    and the total.  Accepted lines are the same priced lines semi-joined to
+    the accepted ids (the exchange on ``order_id`` is shared).
     """
-    valid = requests.filter(request_is_valid())
-    invalid = requests.filter(~request_is_valid()).select(
-        "order_id", F.lit("invalid_request").alias("reason"))
-    lines = price_lines(explode_lines(valid), menu)
-    bad = (lines.groupBy("order_id")
-           .agg(F.bool_or(F.col("price").isNull()).alias("unknown"),
-                F.bool_or(F.col("quantity").isNull()).alias("nullq"))
-           .filter(F.col("unknown") | F.col("nullq"))
-           .select("order_id", F.when(F.col("unknown"), "unknown_item")
-                   .otherwise("null_quantity").alias("reason")))
-    ok_requests = valid.join(bad.select("order_id"), "order_id", "left_anti")
-    ok_lines = lines.join(bad.select("order_id"), "order_id", "left_anti")
-    return ok_requests, ok_lines, invalid.unionByName(bad)
+    header = [c for c in HEADER if c in requests.columns]
+    extra = [c for c in ("delivery_instructions",) if c in requests.columns]
+    x = requests.select("order_id", *header, *extra, request_is_valid().alias("valid"),
+                        F.explode_outer("order_info").alias("item_key", "quantity"))
+    x = x.withColumn("item_id", F.col("item_key").try_cast("bigint"))
+    lines = price_lines(x, menu)
+    is_line = F.col("item_key").isNotNull()
+    verdict = (lines.groupBy("order_id")
+               .agg(*[F.any_value(c).alias(c) for c in header + extra],
+                    F.bool_and("valid").alias("valid"),
+                    F.bool_or(is_line & F.col("price").isNull()).alias("unknown"),
+                    F.bool_or(is_line & F.col("quantity").isNull()).alias("nullq"),
+                    F.sum("subtotal").cast("decimal(10,2)").alias("total_amount")))
+    reason = (F.when(~F.col("valid"), "invalid_request")
+              .when(F.col("unknown"), "unknown_item")
+              .when(F.col("nullq"), "null_quantity"))
+    judged = verdict.withColumn("reason", reason)
+    rejected = judged.filter(F.col("reason").isNotNull()).select("order_id", "reason")
+    ok = judged.filter(F.col("reason").isNull()).select("order_id", *header, *extra, "total_amount")
+    ok_lines = (lines.filter(F.col("valid"))
+                .join(ok.select("order_id"), "order_id", "left_semi")
+                .select("order_id", "item_id", "quantity", "price", "subtotal"))
+    return ok, ok_lines, rejected
 
 
 def order_lines(lines: DataFrame) -> DataFrame:
@@ -98,11 +117,17 @@ def upsert_users(existing: DataFrame, requests: DataFrame) -> DataFrame:
     return existing.select("user_id", "email", "phone_number", "city", "registration_date").unionByName(new_users)
 
 
-def ingest_orders(requests: DataFrame, totals: DataFrame, users: DataFrame) -> DataFrame:
-    """``orders`` rows; ``user_id`` looked up by e-mail in the upserted users."""
+def ingest_orders(requests: DataFrame, users: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """``orders`` rows; ``user_id`` looked up by e-mail in the upserted users.
+
+    ``requests`` are accepted orders; their ``total_amount`` comes from
+    ``split_requests`` or, when given, from ``totals`` (``order_totals``).
+    """
     instr = (F.col("delivery_instructions") if "delivery_instructions" in requests.columns
              else F.lit(None).cast("string"))
-    return (requests.join(totals, "order_id")
+    if totals is not None:
+        requests = requests.drop("total_amount").join(totals, "order_id")
+    return (requests
             .join(users.select("email", "user_id"), "email", "left")
             .select("order_id", "user_id", "total_amount", F.lit("pending").alias("status"),
                     F.col("city").alias("delivery_city"), instr.alias("delivery_instructions"),

@@ -46,7 +46,7 @@ def _users(spark, sf):
 def _orders(spark, sf):
     f, (ok, lines, _rej) = _split(spark, sf)
     users = ingest.upsert_users(f.users_existing, ok)
-    return ingest.ingest_orders(ok, ingest.order_totals(lines), users)
+    return ingest.ingest_orders(ok, users)
 
 
 @register("ingest_rejected", oracle=_INGEST + """
