@@ -105,25 +105,28 @@ def daily_kpis(events: DataFrame, orders: DataFrame, users: DataFrame, as_of: dt
                n_riders: int = N_RIDERS) -> DataFrame:
     """D6 (flagship): orders made, active orders, revenue, new customers, last order.
 
-    Revenue joins the day's per-order pending counts (one row per order) to
-    the orders table instead of joining every event row; the join side sizes
-    are left to AQE, which broadcasts the per-order frame when it is small.
-    The three one-row side results are scalar subqueries, so the output is a
-    single row without any product of frames.
+    Revenue joins the day's per-order counts (one row per order) to the
+    orders table instead of joining every event row, inside the same
+    aggregate as the counts; the join strategy is left to AQE (broadcast of
+    the measured per-order side when small, otherwise a shuffle join that a
+    bucketed ``orders`` table serves without moving the fact side; ``order_id``
+    is the primary key of ``orders``, so the join adds no rows).  New
+    customers and the last order time come from other sources and are
+    scalar subqueries, so the output is one row without any product of
+    frames.
     """
     stats = order_status_stats(events, as_of)
-    revenue = (stats.filter(F.col("n_pending") > 0)
-               .join(orders.select("order_id", "total_amount"), "order_id")
-               .agg(F.sum(F.col("total_amount") * F.col("n_pending")).cast("decimal(20,2)").alias("r"))
-               .scalar())
+    amounts = orders.select("order_id", "total_amount")
     new_customers = (users.filter(F.col("registration_date") == F.lit(as_of))
                      .agg(F.countDistinct("user_id").alias("c")).scalar())
     last = (events.filter(F.col("status") == "pending")
             .agg(F.max("event_timestamp").alias("m")).scalar())
-    return (stats.agg(F.coalesce(F.sum("n_pending"), F.lit(0)).cast("bigint").alias("total_orders"),
-                      F.count(F.when(_is_active(n_riders), 1)).alias("active_orders"))
-            .select("total_orders", "active_orders",
-                    revenue.alias("revenue"),
+    pending_amount = F.when(F.col("n_pending") > 0, F.col("total_amount") * F.col("n_pending"))
+    return (stats.join(amounts, "order_id", "left")
+            .agg(F.coalesce(F.sum("n_pending"), F.lit(0)).cast("bigint").alias("total_orders"),
+                 F.count(F.when(_is_active(n_riders), 1)).alias("active_orders"),
+                 F.sum(pending_amount).cast("decimal(20,2)").alias("revenue"))
+            .select("total_orders", "active_orders", "revenue",
                     new_customers.alias("new_customers"),
                     last.alias("last_order_time"))
             .withColumn("last_order_label",

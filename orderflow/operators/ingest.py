@@ -46,7 +46,8 @@ def price_lines(lines: DataFrame, menu: DataFrame) -> DataFrame:
 HEADER = ("email", "phone_number", "city", "order_created_timestamp")
 
 
-def split_requests(requests: DataFrame, menu: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_requests(requests: DataFrame, menu: DataFrame,
+                   lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """B1 + B10: (accepted orders with totals, priced lines of accepted orders, rejected).
 
     An order is lost whole when any of its lines has an unknown item or a
@@ -54,22 +55,47 @@ def split_requests(requests: DataFrame, menu: DataFrame) -> tuple[DataFrame, Dat
     ``rejected`` has ``order_id, reason`` with reason ``invalid_request``,
     ``unknown_item`` or ``null_quantity`` (first that applies).
 
-    One pass: every request is exploded once (``explode_outer`` keeps
-    requests without items), lines are priced by one join with the menu,
-    and a single aggregate per order yields the verdict, the header fields
-    and the total.  Accepted lines are the same priced lines semi-joined to
-    the accepted ids (the exchange on ``order_id`` is shared).
+    Requests come either as messages with an ``order_info`` map, or -- with
+    ``lines`` given -- as flat header rows plus ``(order_id, item_id,
+    quantity)`` line rows (a table layout that never gathers an order's
+    items into one value).
+
+    One pass: every request meets its lines once (``explode_outer`` of the
+    map, or a left join with the line table, keeps requests without items),
+    lines are priced by one join with the menu, and a single aggregate per
+    order yields the verdict, the header fields and the total.  Accepted
+    lines are the same priced lines semi-joined to the accepted ids (the
+    exchange on ``order_id`` is shared).  Every step is a shuffle keyed by
+    ``order_id`` or ``item_id`` with partial aggregation, so one huge order
+    is split by AQE's skew handling rather than held in one task.
     """
     header = [c for c in HEADER if c in requests.columns]
     extra = [c for c in ("delivery_instructions",) if c in requests.columns]
-    x = requests.select("order_id", *header, *extra, request_is_valid().alias("valid"),
-                        F.explode_outer("order_info").alias("item_key", "quantity"))
-    x = x.withColumn("item_id", F.col("item_key").try_cast("bigint"))
+    filled = _filled("email") & _filled("phone_number") & _filled("city")
+    if lines is None:
+        x = requests.select("order_id", *header, *extra, request_is_valid().alias("valid"),
+                            F.explode_outer("order_info").alias("item_key", "quantity"))
+        x = x.withColumn("item_id", F.col("item_key").try_cast("bigint"))
+    else:
+        l = lines.select("order_id", F.col("item_id").cast("string").alias("item_key"),
+                         F.col("item_id").cast("bigint").alias("item_id"), "quantity")
+        heads = requests.select("order_id", *header, *extra, filled.alias("valid"))
+        # Inner join for requests with lines (AQE can split a hot order on
+        # either side of an inner join) plus the requests without any line
+        # (anti join against the distinct line order ids, which partial
+        # aggregation shrinks before the shuffle).
+        with_lines = l.join(heads, "order_id")
+        no_lines = (heads.join(l.select("order_id").distinct(), "order_id", "left_anti")
+                    .select("*", F.lit(None).cast("string").alias("item_key"),
+                            F.lit(None).cast("bigint").alias("item_id"),
+                            F.lit(None).cast("int").alias("quantity")))
+        x = with_lines.unionByName(no_lines)
     lines = price_lines(x, menu)
     is_line = F.col("item_key").isNotNull()
     verdict = (lines.groupBy("order_id")
                .agg(*[F.any_value(c).alias(c) for c in header + extra],
-                    F.bool_and("valid").alias("valid"),
+                    # fields filled on the request and at least one line
+                    (F.bool_and("valid") & F.bool_or(is_line)).alias("valid"),
                     F.bool_or(is_line & F.col("price").isNull()).alias("unknown"),
                     F.bool_or(is_line & F.col("quantity").isNull()).alias("nullq"),
                     F.sum("subtotal").cast("decimal(10,2)").alias("total_amount")))
@@ -79,8 +105,7 @@ def split_requests(requests: DataFrame, menu: DataFrame) -> tuple[DataFrame, Dat
     judged = verdict.withColumn("reason", reason)
     rejected = judged.filter(F.col("reason").isNotNull()).select("order_id", "reason")
     ok = judged.filter(F.col("reason").isNull()).select("order_id", *header, *extra, "total_amount")
-    ok_lines = (lines.filter(F.col("valid"))
-                .join(ok.select("order_id"), "order_id", "left_semi")
+    ok_lines = (lines.join(ok.select("order_id"), "order_id", "left_semi")
                 .select("order_id", "item_id", "quantity", "price", "subtotal"))
     return ok, ok_lines, rejected
 

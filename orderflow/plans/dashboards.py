@@ -181,7 +181,7 @@ def q_avg_complete(spark, sf):
 
 # -- history (F) -------------------------------------------------------------
 from orderflow.operators import history, riders, menu  # noqa: E402
-from orderflow.plans.catalog import YEAR, RIDER, RIDER_NAME, MONTH_START  # noqa: E402
+from orderflow.plans.catalog import YEAR, RIDER, RIDER_NAME  # noqa: E402
 
 _IN_YEAR = "EXTRACT(YEAR FROM {c}) = 1998"
 
@@ -299,7 +299,8 @@ GROUP BY time_series"""
 
 @register("rider_daily", oracle=_RIDER_DAILY_SQL, headline=True)
 def q_rider_daily(spark, sf):
-    return riders.rider_daily(fx(spark, sf).orders_status, RIDER, MONTH_START, AS_OF)
+    start, end = riders.month_to_date(AS_OF)  # G6: first of the month .. reporting day
+    return riders.rider_daily(fx(spark, sf).orders_status, RIDER, start, end)
 
 
 @register("rider_daily_long", oracle=f"""
@@ -309,7 +310,8 @@ UNION ALL
 SELECT day, 'denied_order_count', denied_order_count FROM d
 """)
 def q_rider_daily_long(spark, sf):
-    return riders.rider_daily_long(riders.rider_daily(fx(spark, sf).orders_status, RIDER, MONTH_START, AS_OF))
+    start, end = riders.month_to_date(AS_OF)
+    return riders.rider_daily_long(riders.rider_daily(fx(spark, sf).orders_status, RIDER, start, end))
 
 
 # -- menu (A2-A4, H) -----------------------------------------------------------

@@ -34,8 +34,9 @@ users AS (SELECT user_id, email, phone_number, city, registration_date FROM f_us
 
 
 def _split(spark, sf):
+    """Requests as a table: header rows plus flat line rows (no per-order collect)."""
     f = fx(spark, sf)
-    return f, ingest.split_requests(f.order_requests, f.menu_items)
+    return f, ingest.split_requests(f.requests, f.menu_items, lines=f.request_lines)
 
 
 def _users(spark, sf):
