@@ -117,8 +117,12 @@ def admit_responses(responses: DataFrame, n_riders: int = N_RIDERS,
     r = responses.select("response_id", "order_id", "rider_id", "status", "event_timestamp")
 
     if log is not None:
+        # Only the log of orders that receive responses matters; the semi join's
+        # small side (the responses' distinct order ids) is broadcast by AQE.
+        touched = r.select("order_id").distinct()
         prior = (log.filter(F.col("rider_id").isNotNull() & F.col("status").isin("accepted", "denied"))
-                 .select("order_id", "rider_id", "status").distinct())
+                 .select("order_id", "rider_id", "status")
+                 .join(touched, "order_id", "left_semi").distinct())
         prior_orders = prior.groupBy("order_id").agg(
             F.count(F.when(F.col("status") == "accepted", 1)).alias("a0"),
             F.count(F.when(F.col("status") == "denied", 1)).alias("d0"))

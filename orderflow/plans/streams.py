@@ -14,6 +14,7 @@ from orderflow.session import scratch_path
 from orderflow.sources import messages
 from orderflow.sources.fixtures import positions_from, responses_from
 from orderflow.streaming import events_stream, gate_stream, run_available_now, table_stream
+from orderflow.streaming.gate import gate_into_log
 from orderflow.streaming.sinks import append_batch
 
 FILES = 4  # files per derived feed, so streams see several micro-batches
@@ -200,3 +201,12 @@ def q_gate_stream(spark, sf):
     resp = responses_from(events_stream(spark, sf, max_files=1))
     out = run_available_now(gate_stream(resp, N), "stream-gate")
     return _ntz(out, "event_timestamp")
+
+
+@register("gate_stream_table", oracle=ORACLE_RAW["gate_batch"])
+def q_gate_stream_table(spark, sf):
+    """C6 streaming with the admitted-response log as the gate state (no per-order Python)."""
+    resp = responses_from(events_stream(spark, sf, max_files=1))
+    log_path = scratch_path(spark, "gate-log")
+    out = run_available_now(resp, "gate-table", out=log_path, foreach_batch=gate_into_log(resp, log_path, N))
+    return _ntz(out.drop("epoch_id"), "event_timestamp")
