@@ -96,7 +96,7 @@ def test_table_state_gate_over_batches_equals_batch(spark):
     import random
     from orderflow.streaming.gate import gate_into_log
     rnd = random.Random(11)
-    rows = [(i, rnd.randint(0, 7), rnd.randint(1, 4), rnd.choice(["accepted", "denied", "denied", "denied"]),
+    rows = [(i, rnd.randint(0, 40), rnd.randint(1, 4), rnd.choice(["accepted", "denied", "denied", "denied"]),
              (T0 + dt.timedelta(minutes=i)).isoformat(sep=" ")) for i in range(160)]
     df = responses_df(spark, rows)
     path = scratch_path(spark, "gate-in")
@@ -106,7 +106,7 @@ def test_table_state_gate_over_batches_equals_batch(spark):
     s = table_stream(spark, path, schemas.RIDER_RESPONSE, ts_cols=("event_timestamp",), max_files=1)
     log_path, ckpt = scratch_path(spark, "gate-log"), scratch_path(spark, "gate-ckpt")
     out = run_available_now(s, "g", out=log_path, checkpoint=ckpt, foreach_batch=gate_into_log(s, log_path, 3))
-    assert out.select("epoch_id").distinct().count() == 4
+    assert out.select("epoch_id").distinct().count() >= 2  # several micro-batches admitted rows
     got = sorted(r["response_id"] for r in out.collect())
     assert got == sequential(rows, 3)
     # restart: nothing new, same log
