@@ -143,7 +143,11 @@ def admit_responses(responses: DataFrame, n_riders: int = N_RIDERS,
     else:
         need = F.lit(n_riders)
     w = Window.partitionBy("order_id").orderBy("deny_key")
+    # The literal bound lets Spark plan a partial WindowGroupLimit: every map
+    # task keeps at most n_riders candidates per order before the shuffle, so
+    # an order denied by a huge number of riders never reaches one task whole.
     nth_denial = (deniers.withColumn("rank", F.row_number().over(w))
+                  .filter(F.col("rank") <= n_riders)
                   .filter(F.col("rank") == need)
                   .select("order_id", F.col("deny_key").alias("quorum_key")))
 

@@ -63,3 +63,10 @@ def test_day_partitioned_log_prunes_and_agrees(spark, log_table):
     assert "PartitionFilters: [isnotnull(event_date" in p and "(event_date" in p
     assert daily.daily_status(by_day, day).collect() == daily.daily_status(log_table, day).collect()
     assert (history.yearly_orders(by_day, 1998).collect() == history.yearly_orders(log_table, 1998).collect())
+
+
+@pytest.mark.parametrize("name", ["gate_batch", "gate_batch_log"])
+def test_gate_ranks_with_partial_top_k(spark, name):
+    # The quorum lookup keeps at most n_riders candidates per order per map task.
+    p = plan_of(entry.queries()[name](spark, SF_SMALL))
+    assert "row_number(), 3, Partial" in p and "row_number(), 3, Final" in p
