@@ -20,6 +20,8 @@ SELECT p_partkey AS item_id, p_name AS name,
 FROM part""",
     "f_riders": """
 SELECT CAST(s_suppkey AS INT) AS rider_id, s_name AS name FROM supplier WHERE s_suppkey BETWEEN 1 AND 4""",
+    "f_roster": """
+SELECT CAST(s_suppkey AS INT) AS rider_id, s_name AS name FROM supplier""",
     "f_pending": """
 SELECT o_orderkey AS order_id, o_custkey AS user_id, o_orderstatus AS outcome,
        CASE WHEN o_orderkey % 10 = 0 THEN TIMESTAMP '1998-06-15 00:00:00' ELSE o_orderdate END

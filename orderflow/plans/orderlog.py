@@ -140,23 +140,23 @@ def q_repeat_denials(spark, sf):
 
 # -- dispatch, gate, state (C) -----------------------------------------------------------
 
-@register("offers", oracle="SELECT order_id, (SELECT COUNT(DISTINCT rider_id) FROM f_riders) AS n_offers FROM f_orders")
+@register("offers", oracle="SELECT order_id, (SELECT COUNT(DISTINCT rider_id) FROM f_roster) AS n_offers FROM f_orders")
 def q_offers(spark, sf):
     f = fx(spark, sf)
-    return lifecycle.offers(f.orders, f.riders)
+    return lifecycle.offers(f.orders, f.roster)
 
 
 @register("responses_named", oracle="""
-SELECT r.*, f.name AS rider_name FROM f_responses r LEFT JOIN f_riders f ON r.rider_id = f.rider_id
+SELECT r.*, f.name AS rider_name FROM f_responses r LEFT JOIN f_roster f ON r.rider_id = f.rider_id
 """)
 def q_responses_named(spark, sf):
     f = fx(spark, sf)
-    return lifecycle.with_rider_name(f.responses, f.riders)
+    return lifecycle.with_rider_name(f.responses, f.roster)
 
 
-@register("rider_ids", oracle="SELECT rider_id FROM f_riders")
+@register("rider_ids", oracle="SELECT rider_id FROM f_roster")
 def q_rider_ids(spark, sf):
-    return lifecycle.active_riders(fx(spark, sf).riders)
+    return lifecycle.active_riders(fx(spark, sf).roster)
 
 
 @register("decisions", oracle="""
@@ -257,11 +257,11 @@ def q_rider_orders(spark, sf):
 
 @register("match_responses", oracle="""
 SELECT r.*, o.total_amount FROM f_responses r JOIN f_orders o ON r.order_id = o.order_id
-WHERE r.rider_id IN (SELECT rider_id FROM f_riders)
+WHERE r.rider_id IN (SELECT rider_id FROM f_roster)
 """)
 def q_match_responses(spark, sf):
     f = fx(spark, sf)
-    return lifecycle.match_responses(f.responses, f.orders, f.riders)
+    return lifecycle.match_responses(f.responses, f.orders, f.roster)
 
 
 @register("latest_order", oracle="SELECT MAX(order_id) AS latest_order_id FROM f_orders")

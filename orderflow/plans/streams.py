@@ -170,14 +170,14 @@ def q_stream_latest_positions(spark, sf):
 
 
 @register("stream_offers", oracle="""
-SELECT order_id, (SELECT COUNT(DISTINCT rider_id) FROM f_riders) AS n_offers FROM f_requests
+SELECT order_id, (SELECT COUNT(DISTINCT rider_id) FROM f_roster) AS n_offers FROM f_requests
 """)
 def q_stream_offers(spark, sf):
     """C1 streaming: each incoming order is offered to the current rider roster."""
     f = fx(spark, sf)
     path = _write_feed(spark, messages.to_messages(f.order_requests, "order_id"), "offer-feed")
     s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=1))
-    roster = f.riders
+    roster = f.roster
 
     def write(df, epoch_id, out):
         append_batch(lifecycle.offers(df.select("order_id"), roster), epoch_id, out)
@@ -191,7 +191,7 @@ def q_stream_match(spark, sf):
     """C10 streaming: responses joined to the static order table and rider roster."""
     f = fx(spark, sf)
     resp = responses_from(events_stream(spark, sf, max_files=1))
-    out = run_available_now(lifecycle.match_responses(resp, f.orders, f.riders), "stream-match")
+    out = run_available_now(lifecycle.match_responses(resp, f.orders, f.roster), "stream-match")
     return _ntz(out, "event_timestamp")
 
 

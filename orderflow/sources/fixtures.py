@@ -71,6 +71,12 @@ class Fixtures:
                  .select(F.col("s_suppkey").cast("int").alias("rider_id"),
                          F.col("s_name").alias("name")))
 
+    @cached_property
+    def roster(self) -> DataFrame:
+        """The whole rider table (every supplier); ``riders`` is the active subset."""
+        s = self.table("supplier")
+        return s.select(F.col("s_suppkey").cast("int").alias("rider_id"), F.col("s_name").alias("name"))
+
     # -- facts ----------------------------------------------------------
     @cached_property
     def pending(self) -> DataFrame:
