@@ -22,7 +22,6 @@ AS_OF = dt.date(1998, 6, 15)
 YEAR = 1998
 RIDER = 1
 RIDER_NAME = "Supplier#000000002"
-MONTH_START = dt.date(1998, 6, 1)
 N = 3
 
 QueryFn = Callable[[SparkSession, str], DataFrame]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from orderflow.operators import daily
-from orderflow.plans.catalog import AS_OF, N, fx, register
+from orderflow.operators import daily, history, menu, riders
+from orderflow.plans.catalog import AS_OF, N, RIDER, RIDER_NAME, YEAR, fx, register
 
 DAY = "DATE '1998-06-15'"
 ON_DAY = f"CAST(event_timestamp AS DATE) = {DAY}"
@@ -180,9 +180,6 @@ def q_avg_complete(spark, sf):
 
 
 # -- history (F) -------------------------------------------------------------
-from orderflow.operators import history, riders, menu  # noqa: E402
-from orderflow.plans.catalog import YEAR, RIDER, RIDER_NAME  # noqa: E402
-
 _IN_YEAR = "EXTRACT(YEAR FROM {c}) = 1998"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orderflow.operators import ingest, lifecycle
-from orderflow.plans.catalog import AS_OF, N, RIDER, fx, register
+from orderflow.plans.catalog import N, RIDER, fx, register
 
 # -- ingest (B) ------------------------------------------------------------------
 
