@@ -17,7 +17,8 @@ from orderflow.streaming import events_stream, gate_stream, run_available_now, t
 from orderflow.streaming.gate import gate_into_log
 from orderflow.streaming.sinks import append_batch
 
-FILES = 4  # files per derived feed, so streams see several micro-batches
+FILES = 4  # files per derived feed ...
+PER_TRIGGER = 2  # ... read two per micro-batch, so every stream runs several micro-batches
 
 
 def _ntz(df: DataFrame, *cols: str) -> DataFrame:
@@ -36,7 +37,7 @@ def _log_stream(spark, f):
     """The status log, materialised as a table, replayed as a file stream."""
     path = scratch_path(spark, "status-log")
     f.orders_status.repartition(FILES).write.mode("overwrite").parquet(path)
-    return table_stream(spark, path, schemas.ORDERS_STATUS, ts_cols=("event_timestamp",), max_files=2)
+    return table_stream(spark, path, schemas.ORDERS_STATUS, ts_cols=("event_timestamp",), max_files=PER_TRIGGER)
 
 
 def slot_counts(events: DataFrame, minutes: int = 15, watermark: str | None = None) -> DataFrame:
@@ -49,7 +50,7 @@ def slot_counts(events: DataFrame, minutes: int = 15, watermark: str | None = No
 
 def _confirmed_stream(spark, f):
     path = _write_feed(spark, feeds.confirmed_messages(f), "confirmed-feed")
-    return messages.read_feed(spark, fmt="text", path=path, max_per_trigger=1)
+    return messages.read_feed(spark, fmt="text", path=path, max_per_trigger=PER_TRIGGER)
 
 
 @register("stream_orders", oracle="""
@@ -60,7 +61,7 @@ def q_stream_orders(spark, sf):
     """A5: order messages published as JSON (A8), consumed as a stream, exploded to lines."""
     f = fx(spark, sf)
     path = _write_feed(spark, messages.to_messages(f.order_requests, "order_id"), "order-feed")
-    s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=1))
+    s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=PER_TRIGGER))
     lines = s.select("order_id", "email", "city", F.explode("order_info").alias("k", "quantity")).select(
         "order_id", "email", "city", F.col("k").try_cast("bigint").alias("item_id"), "quantity")
     return run_available_now(lines, "stream-orders")
@@ -99,7 +100,7 @@ def q_stream_positions(spark, sf):
         F.date_format("position_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
         "latitude", "longitude")).alias("value"))
     path = _write_feed(spark, msg, "position-feed")
-    s = messages.parse_positions(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=1))
+    s = messages.parse_positions(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=PER_TRIGGER))
     return run_available_now(s, "stream-positions")
 
 
@@ -176,7 +177,7 @@ def q_stream_offers(spark, sf):
     """C1 streaming: each incoming order is offered to the current rider roster."""
     f = fx(spark, sf)
     path = _write_feed(spark, messages.to_messages(f.order_requests, "order_id"), "offer-feed")
-    s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=1))
+    s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=PER_TRIGGER))
     roster = f.roster
 
     def write(df, epoch_id, out):
