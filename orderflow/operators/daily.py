@@ -222,7 +222,8 @@ def orders_by_slot(events: DataFrame, as_of: dt.date, slot_minutes: int = 15,
                         .alias("time_window"))
               .groupBy("time_window").agg(F.count(F.lit(1)).alias("n")))
     return (spine.join(F.broadcast(counts), "time_window", "left")
-            .select("time_window", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("num_orders")))
+            .select("time_window", F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("num_orders"))
+            .orderBy("time_window"))
 
 
 # -- delays ------------------------------------------------------------------

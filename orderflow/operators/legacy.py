@@ -30,6 +30,13 @@ def transaction_lines(legacy: DataFrame) -> DataFrame:
     return legacy.select("id", line.alias("line"))
 
 
-def unique_emails(legacy: DataFrame) -> DataFrame:
-    """I7 (batch form): distinct e-mails seen so far."""
+def unique_emails(legacy: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """I7 (batch form): distinct e-mails seen so far.
+
+    ``approx=True`` uses a HyperLogLog++ sketch (``approx_count_distinct``,
+    relative error ``rsd``): constant memory per task when the set of
+    e-mails is too large to deduplicate exactly.
+    """
+    if approx:
+        return legacy.agg(F.approx_count_distinct("email", rsd).alias("n_unique_emails"))
     return legacy.agg(F.countDistinct("email").alias("n_unique_emails"))

@@ -44,7 +44,8 @@ def rider_status_matrix(events: DataFrame, riders: DataFrame, as_of: dt.date,
                          F.explode(F.array(*[F.lit(s) for s in statuses])).alias("status"))
     return (grid.join(counts, ["rider_id", "status"], "left")
             .groupBy("name", "status")
-            .agg(F.sum(F.coalesce(F.col("c"), F.lit(0))).cast("bigint").alias("count_orders")))
+            .agg(F.sum(F.coalesce(F.col("c"), F.lit(0))).cast("bigint").alias("count_orders"))
+            .orderBy("name", "status"))
 
 
 def rider_daily(events: DataFrame, rider_id: int, start: dt.date, end: dt.date) -> DataFrame:
@@ -62,7 +63,8 @@ def rider_daily(events: DataFrame, rider_id: int, start: dt.date, end: dt.date)
                     F.count(F.when(F.col("status") == "denied", 1)).alias("d")))
     return (spine.join(F.broadcast(per_day), "day", "left")
             .select("day", F.coalesce("c", F.lit(0)).cast("bigint").alias("completed_order_count"),
-                    F.coalesce("d", F.lit(0)).cast("bigint").alias("denied_order_count")))
+                    F.coalesce("d", F.lit(0)).cast("bigint").alias("denied_order_count"))
+            .orderBy("day"))
 
 
 def month_to_date(as_of: dt.date) -> tuple[dt.date, dt.date]:

@@ -71,3 +71,10 @@ def test_latest_positions_includes_only_known_lines(spark):
     assert {r["busline"] for r in out.collect()} <= {"00001", "00002", "00003"}
     every = positions.latest_positions(f.positions, lines=None)
     assert every.count() == f.positions.select("busline").distinct().count()
+
+
+def test_unique_emails_exact_and_sketch(spark):
+    f = catalog.fx(spark, SF_SMALL)
+    exact = legacy.unique_emails(f.legacy_orders).first()[0]
+    approx = legacy.unique_emails(f.legacy_orders, approx=True).first()[0]
+    assert exact == 150 and abs(approx - exact) <= 0.05 * exact
