@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.functions.time import year_slice
@@ -73,9 +73,11 @@ def yearly_summary(events: DataFrame, orders: DataFrame, year: int) -> DataFrame
     o = yearly_orders(events, year).select("month", F.col("num_orders").cast("double").alias("num_orders"))
     r = yearly_revenue(events, orders, year).select("month", F.col("revenue").cast("double").alias("revenue"))
     both = o.join(r, "month", "full")
-    limits = both.agg(F.struct((F.max("num_orders") * 1.1).alias("om"),
-                               (F.max("revenue") * 1.1).alias("rm")).alias("l")).scalar()
+    # At most 12 rows (months of one year): the axis limits are a window over
+    # the whole, proven-small frame instead of a subquery that would compute
+    # both monthly aggregates a second time.
+    whole = Window.partitionBy()
     return both.select("month", round6(F.col("num_orders")).alias("num_orders"),
                        round6(F.col("revenue")).alias("revenue"),
-                       round6(limits.getField("om")).alias("orders_max"),
-                       round6(limits.getField("rm")).alias("revenues_max"))
+                       round6(F.max("num_orders").over(whole) * 1.1).alias("orders_max"),
+                       round6(F.max("revenue").over(whole) * 1.1).alias("revenues_max"))
