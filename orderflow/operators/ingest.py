@@ -46,8 +46,8 @@ def price_lines(lines: DataFrame, menu: DataFrame) -> DataFrame:
 HEADER = ("email", "phone_number", "city", "order_created_timestamp")
 
 
-def split_requests(requests: DataFrame, menu: DataFrame,
-                   lines: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_requests(requests: DataFrame, menu: DataFrame, lines: DataFrame | None = None,
+                   materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """B1 + B10: (accepted orders with totals, priced lines of accepted orders, rejected).
 
     An order is lost whole when any of its lines has an unknown item or a
@@ -68,6 +68,13 @@ def split_requests(requests: DataFrame, menu: DataFrame,
     exchange on ``order_id`` is shared).  Every step is a shuffle keyed by
     ``order_id`` or ``item_id`` with partial aggregation, so one huge order
     is split by AQE's skew handling rather than held in one task.
+
+    The per-order verdict (one small row per order) feeds every output; with
+    ``materialize`` it is written once with a reliable ``checkpoint()`` in
+    the shared checkpoint folder, so no output recomputes the line joins and
+    the aggregate behind it.  The line-level frame is not materialised: it
+    is as large as the input, and writing it costs about as much as the
+    single extra pass that ``ok_lines`` makes over it.
     """
     header = [c for c in HEADER if c in requests.columns]
     extra = [c for c in ("delivery_instructions",) if c in requests.columns]
@@ -103,6 +110,8 @@ def split_requests(requests: DataFrame, menu: DataFrame,
               .when(F.col("unknown"), "unknown_item")
               .when(F.col("nullq"), "null_quantity"))
     judged = verdict.withColumn("reason", reason)
+    if materialize:
+        judged = judged.checkpoint(eager=True)
     rejected = judged.filter(F.col("reason").isNotNull()).select("order_id", "reason")
     ok = judged.filter(F.col("reason").isNull()).select("order_id", *header, *extra, "total_amount")
     ok_lines = (lines.join(ok.select("order_id"), "order_id", "left_semi")

@@ -56,9 +56,10 @@ def price_density(menu: DataFrame, points: int = 500) -> DataFrame:
     st = x.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"),
                         (F.stddev_samp("x") * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2)))
                         .alias("h")).alias("s")).scalar()
+    # The one-row statistics enter once, as a column of the distinct prices,
+    # and travel with the partial sums to the final step.
     distinct = (x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-                .select("x", "c", st.getField("lo").alias("lo"), st.getField("hi").alias("hi"),
-                        st.getField("h").alias("h")))
+                .select("x", "c", st.alias("s")).select("x", "c", "s.*"))
 
     def partial_sums(batches):
         grid_k = np.arange(points)
@@ -72,11 +73,12 @@ def price_density(menu: DataFrame, points: int = 500) -> DataFrame:
             for i in range(0, len(xs), 2048):  # bound the temporary matrix
                 z = (grid[None, :] - xs[i:i + 2048, None]) / h
                 acc += (cs[i:i + 2048, None] * np.exp(-0.5 * z * z)).sum(axis=0)
-            yield pd.DataFrame({"point": grid_k.astype("int32"), "s": acc})
+            yield pd.DataFrame({"point": grid_k.astype("int32"), "s": acc, "lo": lo, "hi": hi,
+                                "n": int(pdf["n"].iloc[0]), "h": h})
 
-    sums = (distinct.mapInPandas(partial_sums, "point int, s double")
-            .groupBy("point").agg(F.sum("s").alias("s")))
-    lo, hi, n, h = (st.getField(k) for k in ("lo", "hi", "n", "h"))
+    sums = (distinct.mapInPandas(partial_sums, "point int, s double, lo double, hi double, n long, h double")
+            .groupBy("point").agg(F.sum("s").alias("s"), *[F.any_value(c).alias(c) for c in ("lo", "hi", "n", "h")]))
+    lo, hi, n, h = (F.col(k) for k in ("lo", "hi", "n", "h"))
     gx = lo + (F.col("point") * (hi - lo)) / points
     dens = F.col("s") / (n * h * math.sqrt(2 * math.pi))
     return sums.select("point", round6(gx).alias("x"), round6(dens).alias("density"))
