@@ -5,6 +5,7 @@ import io
 import contextlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from orderflow.operators import daily, history
@@ -70,3 +71,23 @@ def test_gate_ranks_with_partial_top_k(spark, name):
     # The quorum lookup keeps at most n_riders candidates per order per map task.
     p = plan_of(entry.queries()[name](spark, SF_SMALL))
     assert "row_number(), 3, Partial" in p and "row_number(), 3, Final" in p
+
+
+def test_lake_layout_tables_give_same_results(spark):
+    from orderflow.sources.layout import write_event_log
+    from orderflow.sources.tables import read_order_tables_lake
+    f = catalog.fx(spark, SF_SMALL)
+    base = scratch_path(spark, "lake")
+    write_event_log(f.orders_status, base + "/orders_status", mode="overwrite")
+    f.orders.withColumn("delivery_instructions", F.lit(None).cast("string")) \
+        .withColumn("order_created_timestamp", F.lit(None).cast("timestamp_ntz")).write.parquet(base + "/orders")
+    f.users.write.parquet(base + "/users")
+    f.menu_items.write.parquet(base + "/menu_items")
+    f.order_details.write.parquet(base + "/order_details")
+    f.roster.write.parquet(base + "/riders")
+    t = read_order_tables_lake(spark, base)
+    day = dt.date(1998, 6, 15)
+    got = daily.daily_kpis(t["orders_status"], t["orders"], t["users"], day).collect()
+    assert got == daily.daily_kpis(f.orders_status, f.orders, f.users, day).collect()
+    got = daily.food_mix(t["orders_status"], t["order_details"], t["menu_items"], day).collect()
+    assert sorted(got) == sorted(daily.food_mix(f.orders_status, f.order_details, f.menu_items, day).collect())
