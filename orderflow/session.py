@@ -46,9 +46,46 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     checkpoint_root(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``orderflow`` importable in the Python workers (once per context).
+
+    The pandas-backed operators (price density partial sums, the state-store
+    gate) run functions of this package inside tasks.  When the package is
+    installed on the workers, or shipped with ``--py-files``, nothing is
+    needed; when it is imported from a source checkout, the package folder is
+    zipped and added with ``addPyFile``, which distributes it to every
+    executor through Spark itself.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    _SHIPPED.add(key)
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    if ".zip" in pkg_dir or "site-packages" in pkg_dir:
+        return  # already a distributed archive or an installed package
+    import zipfile
+    out_dir = tempfile.mkdtemp(prefix="orderflow-pyfiles-")  # driver-side; Spark serves it to executors
+    zpath = os.path.join(out_dir, "orderflow.zip")
+    root = os.path.dirname(pkg_dir)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in base:
+                continue
+            for fn in files:
+                if fn.endswith(".py"):
+                    full = os.path.join(base, fn)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder from ``spark.checkpoint.dir``; a private one only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
