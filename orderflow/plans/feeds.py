@@ -36,7 +36,19 @@ def q_parse_confirmed(spark, sf):
     return messages.parse_confirmed(confirmed_messages(fx(spark, sf)))
 
 
-@register("orders_to_json")
+@register("orders_to_json", oracle="""
+WITH info AS (
+  SELECT order_id,
+         '{' || string_agg('"' || CAST(item_id AS VARCHAR) || '":' || coalesce(CAST(quantity AS VARCHAR), 'null'), ','
+                           ORDER BY CAST(item_id AS VARCHAR)) || '}' AS m
+  FROM f_request_lines GROUP BY order_id)
+SELECT CAST(q.order_id AS VARCHAR) AS key,
+       '{"order_id":' || CAST(q.order_id AS VARCHAR) || ',"email":"' || q.email
+       || '","phone_number":"' || q.phone_number || '","city":"' || q.city
+       || '","order_created_timestamp":"' || strftime(q.order_created_timestamp, '%Y-%m-%dT%H:%M:%S.%g') || '"'
+       || coalesce(',"order_info":' || info.m, '') || '}' AS value
+FROM f_requests q LEFT JOIN info ON q.order_id = info.order_id
+""")
 def q_orders_to_json(spark, sf):
     f = fx(spark, sf)
     return messages.to_messages(f.order_requests, "order_id")

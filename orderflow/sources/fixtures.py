@@ -182,13 +182,15 @@ class Fixtures:
     def order_requests(self) -> DataFrame:
         """Nested order messages: ``order_info`` map of item id (string) -> quantity.
 
-        The map is built per order from that order's own lines (a handful per
-        order); orders without lines keep ``order_info = NULL``.
+        The map is built per order from that order's own lines (one message is
+        one order, so this is the message's own size), with entries sorted by
+        item id so the message text is deterministic; orders without lines keep
+        ``order_info = NULL``.
         """
         info = (self.request_lines
                 .groupBy("order_id")
-                .agg(F.map_from_entries(F.collect_list(
-                    F.struct(F.col("item_id").cast("string"), F.col("quantity")))).alias("order_info")))
+                .agg(F.map_from_entries(F.array_sort(F.collect_list(
+                    F.struct(F.col("item_id").cast("string"), F.col("quantity"))))).alias("order_info")))
         return self.requests.join(info, "order_id", "left")
 
     @cached_property
