@@ -209,5 +209,5 @@ def q_gate_stream_table(spark, sf):
     """C6 streaming with the admitted-response log as the gate state (no per-order Python)."""
     resp = responses_from(events_stream(spark, sf, max_files=1))
     log_path = scratch_path(spark, "gate-log")
-    out = run_available_now(resp, "gate-table", out=log_path, foreach_batch=gate_into_log(resp, log_path, N))
+    out = run_available_now(resp, "gate-table", out=log_path, foreach_batch=gate_into_log(log_path, N))
     return _ntz(out.drop("epoch_id"), "event_timestamp")

@@ -66,8 +66,7 @@ def gate_stream(responses: DataFrame, n_riders: int = N_RIDERS) -> DataFrame:
             .applyInPandasWithState(step, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
 
 
-def gate_into_log(responses: DataFrame, log_path: str, n_riders: int = N_RIDERS,
-                  seed_log: DataFrame | None = None):
+def gate_into_log(log_path: str, n_riders: int = N_RIDERS, seed_log: DataFrame | None = None):
     """C6 streaming, table-state form: ``foreachBatch`` writer for ``run_available_now``.
 
     The admitted responses *are* the gate's state, as in the original, where the

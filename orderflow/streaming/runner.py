@@ -64,6 +64,8 @@ def run_available_now(stream: DataFrame, name: str, *, mode: str = "append",
         return _read_or_empty(spark, out, None)
     if mode == "update":
         from orderflow.streaming.sinks import changelog_batch, read_latest
+        if not keys:
+            raise ValueError("update mode needs the key columns of the aggregate")
         wrote: list[int] = []
 
         def write_changes(df: DataFrame, epoch_id: int) -> None:
@@ -75,7 +77,7 @@ def run_available_now(stream: DataFrame, name: str, *, mode: str = "append",
         q.awaitTermination()
         if not wrote:
             return spark.createDataFrame([], schema)
-        return read_latest(spark, out, keys or [])
+        return read_latest(spark, out, keys)
     if mode == "append":
         q = (stream.writeStream.format("parquet").option("path", out)
              .option("checkpointLocation", checkpoint).outputMode("append")

@@ -33,15 +33,15 @@ def changelog_batch(df: DataFrame, epoch_id: int, table: str) -> None:
     df.write.mode("overwrite").parquet(f"{table}/epoch={epoch_id}")
 
 
-def read_latest(spark, table: str, keys: list[str], schema=None) -> DataFrame:
+def read_latest(spark, table: str, keys: list[str]) -> DataFrame:
     """Current value per key of a changelog table: the row of the highest epoch.
 
     ``max_by`` is a partial aggregate, so the merge combines map-side.
     """
     from pyspark.sql import functions as F
-    log = (spark.read.schema(schema) if schema is not None else spark.read).parquet(table)
-    if schema is not None and "epoch" not in log.columns:
-        log = spark.read.parquet(table)
+    if not keys:
+        raise ValueError("a changelog needs the key columns of its groups")
+    log = spark.read.parquet(table)
     vals = [c for c in log.columns if c not in keys and c != "epoch"]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("epoch")).alias("v"))
     return latest.select(*keys, *[F.col("v")[c].alias(c) for c in vals])

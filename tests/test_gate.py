@@ -105,10 +105,10 @@ def test_table_state_gate_over_batches_equals_batch(spark):
           .coalesce(1).write.mode("append").parquet(path)
     s = table_stream(spark, path, schemas.RIDER_RESPONSE, ts_cols=("event_timestamp",), max_files=1)
     log_path, ckpt = scratch_path(spark, "gate-log"), scratch_path(spark, "gate-ckpt")
-    out = run_available_now(s, "g", out=log_path, checkpoint=ckpt, foreach_batch=gate_into_log(s, log_path, 3))
+    out = run_available_now(s, "g", out=log_path, checkpoint=ckpt, foreach_batch=gate_into_log(log_path, 3))
     assert out.select("epoch_id").distinct().count() >= 2  # several micro-batches admitted rows
     got = sorted(r["response_id"] for r in out.collect())
     assert got == sequential(rows, 3)
     # restart: nothing new, same log
-    again = run_available_now(s, "g", out=log_path, checkpoint=ckpt, foreach_batch=gate_into_log(s, log_path, 3))
+    again = run_available_now(s, "g", out=log_path, checkpoint=ckpt, foreach_batch=gate_into_log(log_path, 3))
     assert sorted(r["response_id"] for r in again.collect()) == got
