@@ -3,6 +3,7 @@
 import datetime as dt
 import io
 import contextlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,30 @@ def test_lake_layout_tables_give_same_results(spark):
     assert got == daily.daily_kpis(f.orders_status, f.orders, f.users, day).collect()
     got = daily.food_mix(t["orders_status"], t["order_details"], t["menu_items"], day).collect()
     assert sorted(got) == sorted(daily.food_mix(f.orders_status, f.order_details, f.menu_items, day).collect())
+
+
+def test_bucketed_orders_join_without_shuffling_orders(spark):
+    """With orders bucketed by order_id (bucket count = shuffle partitions), the per-order
+    KPI frame joins the fact table bucket-to-partition: the orders side is not shuffled."""
+    from orderflow.sources.layout import write_bucketed
+    f = catalog.fx(spark, SF_SMALL)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "orders_bucketed_" + scratch_path(spark, "x")[-12:]
+    (f.orders.write.option("path", scratch_path(spark, "orders-bucketed"))
+     .bucketBy(n, "order_id").sortBy("order_id").format("parquet").saveAsTable(name))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold",
+                                          "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        for k in old:
+            spark.conf.set(k, "-1")
+        day = dt.date(1998, 6, 15)
+        plain = plan_of(daily.daily_kpis(f.orders_status, f.orders, f.users, day))
+        bucketed = plan_of(daily.daily_kpis(f.orders_status, spark.table(name), f.users, day))
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+    count = lambda p: len(re.findall(r"^\(\d+\) Exchange", p, flags=re.M))
+    assert count(bucketed) == count(plain) - 1
