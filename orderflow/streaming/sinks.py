@@ -45,3 +45,9 @@ def read_latest(spark, table: str, keys: list[str]) -> DataFrame:
     vals = [c for c in log.columns if c not in keys and c != "epoch"]
     latest = log.groupBy(*keys).agg(F.max_by(F.struct(*vals), F.col("epoch")).alias("v"))
     return latest.select(*keys, *[F.col("v")[c].alias(c) for c in vals])
+
+
+def debug_console(stream: DataFrame, rows: int = 20):
+    """Print each micro-batch to the driver log (debugging only; never a data sink)."""
+    return (stream.writeStream.format("console").option("numRows", rows).option("truncate", False)
+            .outputMode("append"))

@@ -187,3 +187,25 @@ def test_price_density_matches_numpy(spark):
 def test_year_list_empty_without_orders(spark):
     ev = events_df(spark, [(1, "accepted", 1, "2024-03-10 10:00:00")])
     assert history.year_list(ev).count() == 0
+
+
+def test_rider_orders_nulls_first_and_earliest_acceptance(spark):
+    # DESC puts NULL acceptance times first (PostgreSQL order);
+    # An order with two acceptances takes the earliest instead of failing.
+    from orderflow.operators import lifecycle
+    ev = events_df(spark, [
+        (1, "pending", None, "2024-03-10 10:00:00"),
+        (1, "completed", 7, "2024-03-10 10:30:00"),            # completed without an acceptance row
+        (2, "pending", None, "2024-03-10 11:00:00"),
+        (2, "accepted", 7, "2024-03-10 11:05:00"),
+        (2, "accepted", 8, "2024-03-10 11:02:00"),
+        (2, "completed", 7, "2024-03-10 11:40:00"),
+        (3, "pending", None, "2024-03-10 12:00:00"),
+        (3, "accepted", 7, "2024-03-10 12:01:00"),             # still open -> listed as accepted
+    ])
+    orders = spark.createDataFrame([(1, Decimal("1.00")), (2, Decimal("2.00")), (3, Decimal("3.00"))],
+                                   "order_id long, total_amount decimal(10,2)")
+    out = lifecycle.rider_orders(ev, orders, 7).collect()
+    assert [(r["order_id"], r["status"]) for r in out] == [(1, "completed"), (3, "accepted"), (2, "completed")]
+    assert out[0]["order_acceptance_timestamp"] is None
+    assert out[2]["order_acceptance_timestamp"] == dt.datetime(2024, 3, 10, 11, 2)
