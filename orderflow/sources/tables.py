@@ -42,7 +42,7 @@ def read_jdbc_table(spark: SparkSession, url: str, table: str, *, properties: di
     return reader.load()
 
 
-# The original database's tables (schema ``food_ordering``) and the columns the
+# The original database's schema name and tables (schema ``food_ordering``), and the columns the
 # operators read; ``riders.password`` is never loaded.
 ORDER_TABLES = {
     "orders_status": ("order_id", "status", "rider_id", "event_timestamp"),
