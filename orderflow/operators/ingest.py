@@ -47,7 +47,7 @@ HEADER = ("email", "phone_number", "city", "order_created_timestamp")
 
 
 def split_requests(requests: DataFrame, menu: DataFrame, lines: DataFrame | None = None,
-                   materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+                   materialize: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """B1 + B10: (accepted orders with totals, priced lines of accepted orders, rejected).
 
     An order is lost whole when any of its lines has an unknown item or a
@@ -72,7 +72,9 @@ def split_requests(requests: DataFrame, menu: DataFrame, lines: DataFrame | None
     The per-order verdict (one small row per order) feeds every output; with
     ``materialize`` it is written once with a reliable ``checkpoint()`` in
     the shared checkpoint folder, so no output recomputes the line joins and
-    the aggregate behind it.  The line-level frame is not materialised: it
+    the aggregate behind it.  Use it whenever more than one output is taken
+    from the split (``ingest_pipeline`` does); for a single output it only
+    adds a write.  The line-level frame is not materialised: it
     is as large as the input, and writing it costs about as much as the
     single extra pass that ``ok_lines`` makes over it.
     """
@@ -227,3 +229,17 @@ def append_menu(menu: DataFrame, items: DataFrame, as_of: dt.date | None = None)
 def assign_ids(df: DataFrame, key_cols: list[str], name: str = "id") -> DataFrame:
     """Surrogate key from the natural key (no global numbering, no single task)."""
     return df.withColumn(name, F.xxhash64(*key_cols))
+
+
+def ingest_pipeline(requests: DataFrame, menu: DataFrame, users_existing: DataFrame,
+                    lines: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All ingest outputs from one split: the tables the original writes per order.
+
+    The per-order verdict is materialised once and shared by every output.
+    """
+    ok, ok_lines, rejected = split_requests(requests, menu, lines, materialize=True)
+    users = upsert_users(users_existing, ok)
+    orders = ingest_orders(ok, users)
+    return {"rejected": rejected, "users": users, "orders": orders,
+            "orders_status": initial_events(orders), "order_details": order_details(ok_lines),
+            "order_lines": order_lines(ok_lines)}

@@ -33,10 +33,13 @@ users AS (SELECT user_id, email, phone_number, city, registration_date FROM f_us
 """
 
 
-def _split(spark, sf):
-    """Requests as a table: header rows plus flat line rows (no per-order collect)."""
+def _split(spark, sf, materialize=False):
+    """Requests as a table: header rows plus flat line rows (no per-order collect).
+
+    ``materialize`` where the query itself reads the verdict more than once.
+    """
     f = fx(spark, sf)
-    return f, ingest.split_requests(f.requests, f.menu_items, lines=f.request_lines)
+    return f, ingest.split_requests(f.requests, f.menu_items, lines=f.request_lines, materialize=materialize)
 
 
 def _users(spark, sf):
@@ -45,7 +48,7 @@ def _users(spark, sf):
 
 
 def _orders(spark, sf):
-    f, (ok, lines, _rej) = _split(spark, sf)
+    f, (ok, lines, _rej) = _split(spark, sf, materialize=True)  # ok feeds the upsert and the join
     users = ingest.upsert_users(f.users_existing, ok)
     return ingest.ingest_orders(ok, users)
 

@@ -71,6 +71,10 @@ def ship_package(spark: SparkSession) -> None:
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     if ".zip" in pkg_dir or "site-packages" in pkg_dir:
         return  # already a distributed archive or an installed package
+    root = os.path.dirname(pkg_dir)
+    worker_path = [os.getcwd()] + [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if sc.master.startswith("local") and any(os.path.abspath(p) == root for p in worker_path):
+        return  # local workers start in this folder / with this path and import it directly
     import zipfile
     out_dir = tempfile.mkdtemp(prefix="orderflow-pyfiles-")  # driver-side; Spark serves it to executors
     zpath = os.path.join(out_dir, "orderflow.zip")

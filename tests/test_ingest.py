@@ -71,3 +71,12 @@ def test_anomaly_checks(spark):
                            (1, "accepted", 2, "2024-01-01 10:01:00"), (2, "accepted", 1, "2024-01-01 10:00:00")])
     assert rows(ingest.repeat_denials(ev)) == [(1, 1, 2)]
     assert rows(ingest.accept_before_deny(ev), "order_id") == [(1,)]
+
+
+def test_pipeline_outputs_agree_with_single_queries(spark):
+    f = catalog.fx(spark, SF_SMALL)
+    out = ingest.ingest_pipeline(f.requests, f.menu_items, f.users_existing, lines=f.request_lines)
+    ok, lines, rej = ingest.split_requests(f.requests, f.menu_items, lines=f.request_lines)
+    assert out["rejected"].count() == rej.count() == 73
+    assert out["orders"].count() == ok.count() == out["orders_status"].count()
+    assert out["order_details"].count() == lines.count()
