@@ -11,17 +11,12 @@ def round6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
-def share_of_total(df: DataFrame, value: str, alias: str = "share",
-                   materialize: bool = True) -> DataFrame:
+def share_of_total(df: DataFrame, value: str, alias: str = "share") -> DataFrame:
     """Append ``value / sum(value)`` over the whole frame.
 
     The total is a scalar subquery, so the frame keeps its partitioning (no
-    window over a single partition, no join).  The frame is needed twice
-    (rows and total); with ``materialize`` it is first written once with a
-    reliable ``checkpoint()`` to the shared checkpoint folder, so the
-    aggregation that produced it is not computed a second time for the
-    total.
+    window over a single partition, no join) and nothing is written: for an
+    aggregated frame Spark reuses the aggregate's exchange for the total.
     """
-    base = df.checkpoint(eager=True) if materialize else df
-    total = base.agg(F.sum(F.col(value)).cast("double").alias("t")).scalar()
-    return base.withColumn(alias, round6(F.col(value).cast("double") / total))
+    total = df.agg(F.sum(F.col(value)).cast("double").alias("t")).scalar()
+    return df.withColumn(alias, round6(F.col(value).cast("double") / total))

@@ -14,6 +14,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.session import checkpoint_root
+
 
 def _filled(c: str):
     # Python truthiness of a form field: NULL and '' are empty, ' ' is not.
@@ -113,6 +115,7 @@ def split_requests(requests: DataFrame, menu: DataFrame, lines: DataFrame | None
               .when(F.col("nullq"), "null_quantity"))
     judged = verdict.withColumn("reason", reason)
     if materialize:
+        checkpoint_root(judged.sparkSession)
         judged = judged.checkpoint(eager=True)
     rejected = judged.filter(F.col("reason").isNotNull()).select("order_id", "reason")
     ok = judged.filter(F.col("reason").isNull()).select("order_id", *header, *extra, "total_amount")

@@ -2,8 +2,10 @@
 
 On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...);
 every table this library materialises (stream sinks, stream checkpoints,
-lineage cuts) lives under it.  A private folder is created only when the
-setting is absent, which is the case in unit tests.
+lineage cuts) lives under it.  The setting is only read, never written: Spark
+refuses to change it on a running session.  Without it, an in-process
+``local`` master gets a private folder, and any other master gets an error at
+the first operator that materialises something.
 """
 
 from __future__ import annotations
@@ -45,7 +47,6 @@ def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the operators rely on to an existing session."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
-    checkpoint_root(spark)
     ship_package(spark)
     return spark
 
@@ -90,19 +91,45 @@ def ship_package(spark: SparkSession) -> None:
     sc.addPyFile(zpath)
 
 
+_LOCAL_ROOT: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder from ``spark.checkpoint.dir``; a private one only if unset."""
+    """The shared folder from ``spark.checkpoint.dir``.
+
+    Unset on a ``local[...]`` master: a private folder, one per application.
+    Unset anywhere else: a ``RuntimeError`` that names the setting, since a
+    folder of the driver's machine would be invisible to the executors.
+    """
+    sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="orderflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    sc = spark.sparkContext
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share; "
+                               "this operator writes intermediate tables there")
+        root = _LOCAL_ROOT.get(sc.applicationId)
+        if root is None:
+            root = _LOCAL_ROOT[sc.applicationId] = tempfile.mkdtemp(prefix="orderflow-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's folder below the checkpoint root."""
+    return os.path.join(checkpoint_root(spark), "orderflow", spark.sparkContext.applicationId)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the checkpoint root for one materialisation."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, "orderflow", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh, unique folder below the application's scratch folder for one materialisation."""
+    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has materialised with ``scratch_path``.
+
+    Frames that read those folders must not be used afterwards.  Works on
+    any Hadoop file system.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
