@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import line_dedup, source_mix, token_files
+from orderflow.llm import line_dedup, simhash_dedup, source_mix, token_files
 from orderflow.session import configure, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,10 @@ WITH d AS (
 )
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM taken
 """
+
+
+@query
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fps = simhash_dedup.fingerprints(table(spark, sf_dir, "documents"))
+    return (simhash_dedup.near_components(fps)
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
