@@ -26,6 +26,9 @@ extra columns are ignored; an empty table gives files without documents.
 from __future__ import annotations
 
 import json
+import os
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -41,8 +44,8 @@ from pyspark.sql import functions as F
 NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, stem string, n_docs long, n_tokens long"
 
-#: Words and their pieces kept per Python worker; beyond this the store starts anew (speed only).
-CACHE_ENTRIES = 500_000
+#: Words and pieces in the younger of two generations that a Python worker keeps (speed only).
+CACHE_ENTRIES = 400_000
 
 # The one normaliser and pre-tokenizer for which texts may be encoded word by word.
 # They must equal the tokenizer file's.
@@ -50,74 +53,90 @@ WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\
                    {"type": "Lowercase"}]
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Characters that NFC keeps and whose lower case is one character everywhere.
-_PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+#: Words of characters that NFC keeps and whose lower case is one character everywhere.
+_LATIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 _PIECES = regex.compile(WORD_SPLIT)
+_ASCII_PIECES = re.compile(WORD_SPLIT.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
 #: Characters that Python's ``split`` takes for white space and the tokenizer doesn't.
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 
+#: Byte-level files write bytes as characters: printable Latin-1 as itself, the others from U+0100 on, in order.
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256)
+                                                if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
+class _Kept(dict):
+    """key -> id bytes, computed at first sight; keys not met for two generations are forgotten."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute, self.old = compute, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        data = self.old.get(key)
+        self[key] = data = self.compute(key) if data is None else data
+        return data
+
 
 class Encoder:
     """Encodes texts to little-endian id bytes with a tokenizer file.
 
     If the file normalises and splits as ``word_bpe`` files do (white space
-    dropped, words encoded one by one), each distinct word is encoded once
-    and looked up afterwards; any other file, and any text with separator
-    controls, is encoded whole.
+    dropped, pieces of words encoded one by one), each distinct word and
+    piece is encoded once and looked up afterwards, a piece of plain
+    characters by the tokenizer's model directly; any other word, any text
+    with separator controls, and every text under another kind of file is
+    encoded whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        ids = [*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])] \
-            if isinstance(spec["model"]["vocab"], dict) else [self.tokenizer.get_vocab_size()]
-        self.dtype = np.dtype("<u2" if max(ids) < 1 << 16 else "<u4")
-        self.specials = [t["content"] for t in spec["added_tokens"]]
+        self.model = self.tokenizer.model
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        specials = [t["content"] for t in spec["added_tokens"]]
+        self.special = regex.compile("|".join(map(regex.escape, specials)) or r"(?!)")
         splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.by_word = ((spec.get("normalizer") or {}).get("normalizers") == WORD_NORMALIZER
-                        and splits[0].get("pattern") == {"Regex": WORD_SPLIT}
-                        and splits[0].get("behavior") == "Removed" and splits[0].get("invert") is True
-                        and not any(c.isspace() for s in self.specials for c in s))
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Add the ids of new words, by way of their pieces where those are certain."""
-        plain, whole = {}, []
-        for w in words:
-            if _PLAIN.fullmatch(w) and not any(s in w for s in self.specials):
-                plain[w] = _PIECES.findall(w.lower())
-            else:
-                whole.append(w)
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces = {}
-        new = list({p for ps in plain.values() for p in ps if p not in self.pieces})
-        self.pieces.update(zip(new, self._direct(new), strict=True))
-        get = self.pieces.__getitem__
-        for w, ps in plain.items():
-            self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-        self.words.update(zip(whole, self._direct(whole), strict=True))
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if not self.by_word or _SEPARATORS.search(text):
-                yield self._direct([text])[0]
-                continue
-            words = text.split()
-            try:
-                yield b"".join([self.words[w] for w in words])
-            except KeyError:
-                if len(self.words) > CACHE_ENTRIES:
-                    self.words = {}
-                self._learn(list({w for w in words if w not in self.words}))
-                yield b"".join([self.words[w] for w in words])
+                        and splits[0] == {"type": "Split", "pattern": {"Regex": WORD_SPLIT}, "behavior": "Removed",
+                                          "invert": True}
+                        and [s["type"] for s in splits[1:]] == ["ByteLevel"]
+                        and not any(c.isspace() for s in specials for c in s))
+        self.words, self.pieces = _Kept(self._word), _Kept(self._piece)
+
+    def _whole(self, text: str) -> bytes:
+        return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return self.pack([t.id for t in self.model.tokenize(mapped)])
+
+    def _word(self, word: str) -> bytes:
+        plain = word.isascii() or _LATIN.fullmatch(word)
+        low = word.lower()
+        if plain and low.isalpha():
+            return self.pieces[low]
+        if plain and low[-1] in ",-." and low[:-1].isalpha():
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        if not plain or not word.isprintable() or self.special.search(word):
+            return self._whole(word)
+        return b"".join([self.pieces[p] for p in (_ASCII_PIECES if word.isascii() else _PIECES).findall(low)])
+
+    def encode(self, text: str) -> bytes:
+        if not self.by_word or _SEPARATORS.search(text):
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=2)
@@ -144,7 +163,8 @@ def _writer(out_dir: str, tokenizer_path: str, end_id: int) -> Callable:
             off.write(np.zeros(1, "<i8").tobytes())
             for pdf in batches:
                 lengths = []
-                for data in enc.encode(pdf["text"].tolist()):
+                for text in pdf["text"]:
+                    data = enc.encode(text)
                     ids.write(data)
                     ids.write(end)
                     lengths.append(len(data) // width + 1)
