@@ -13,7 +13,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderflow.llm import decontamination, language_crf, line_dedup, simhash_dedup, source_mix, token_files
+from orderflow.llm import (
+    compression_quality,
+    decontamination,
+    fingerprints,
+    language_crf,
+    license_rules,
+    line_dedup,
+    simhash_dedup,
+    source_mix,
+    token_counts,
+    token_files,
+)
+from orderflow.llm.common import materialise
 from orderflow.session import configure, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +176,42 @@ def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_crf.fit(docs.where(language_crf.learnable_rows()))
     return (language_crf.predict(docs.select("doc_id", "text"), model)
             .select("doc_id", (~language_crf.learnable_rows()).alias("held_out"), "lang_pred", "score"))
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and for doc_ids divisible by 20 the number of documents within the radius (itself too)."""
+    rows = materialise(fingerprints.edited(table(spark, sf_dir, "documents")), "edited")
+    a, b = fingerprints.words_of(F.col("fp"))
+    rows = rows.withColumns({"a": a, "b": b})
+    per_fp = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
+    queries = rows.where(F.col("doc_id") % 20 == 0).select("a", "b")
+    near = (fingerprints.within_radius(queries, per_fp).join(per_fp, ["a", "b"])
+            .groupBy(F.col("qa").alias("a"), F.col("qb").alias("b")).agg(F.sum("n").alias("n_near")))
+    return (rows.join(near, ["a", "b"], "left")
+            .select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"),
+                    F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next",
+                    F.when(F.col("doc_id") % 20 == 0, F.col("n_near")).alias("n_near")))
+
+
+@query
+def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    may = compression_quality.learnable_rows()
+    model = compression_quality.fit(docs.where(may), labels.where(may))
+    return (compression_quality.score(docs, model)
+            .select("doc_id", (~may).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_counts.sentencepiece_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), pieces)
+
+
+@query
+def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (license_rules.scan_licenses(table(spark, sf_dir, "documents"))
+            .select("doc_id", F.size("licenses").cast("long").alias("n_matches"),
+                    F.array_join("licenses", ",").alias("licenses"),
+                    F.array_join(F.col("sentences").cast("array<string>"), ",").alias("sentences")))
