@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.session import checkpoint_root, scratch_path
+from orderflow.session import scratch_path
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -46,4 +48,16 @@ def learnable(doc_id: Column, modulus: int, held_out: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus != held_out, F.lit(False))
 
 
-__all__ = ["ascii_lower", "materialise", "broadcast_if_small", "learnable", "checkpoint_root", "scratch_path"]
+_KEPT: dict = {}
+
+
+def kept_by_worker(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` gives, kept by this Python worker from task to task until another key is asked for.
+
+    Workers outlive an operator's tasks; one store at a time keeps a job of
+    several operators within the memory of one.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

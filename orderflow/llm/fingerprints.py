@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import LOWER, UPPER
+from orderflow.llm.common import LOWER, UPPER, kept_by_worker
 
 BITS, RADIUS = 128, 6
 #: Word hashes that a Python worker keeps (speed only); terms whose bits are unpacked at once.
@@ -57,9 +57,6 @@ class _WordHashes(dict):
         return h
 
 
-_HASHES = _WordHashes()
-
-
 def _scramble(h: np.ndarray, k: int) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * _MIX[k]
     return h ^ (h >> np.uint64(29))
@@ -70,7 +67,8 @@ def fingerprint(text: str) -> bytes:
     words = text.encode().translate(_LOWER).split()
     if not words:
         return bytes(BITS // 8)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    hashes = kept_by_worker("word hashes", _WordHashes)
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     terms = h if len(h) == 1 else h[:-1] * _MIX[0] + h[1:] * _MIX[1]
     terms, counts = np.unique(terms, return_counts=True)
     weights = (1 + np.log(counts)).astype(np.float32)

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import learnable
+from orderflow.llm.common import kept_by_worker, learnable
 
 UNKNOWN = "und"
 #: Bounds of the training sample.
@@ -48,7 +48,7 @@ DOCS_PER_LABEL, SEQUENCES_PER_DOC, SEQUENCE_WORDS = 200, 12, 30
 FEATURES = 1 << 18
 ITERATIONS, RATE, RIDGE = 25, 0.2, 1e-5
 #: Words of a text that make one block, words that a task labels at a time, words kept per Python worker (speed only).
-BLOCK, WORDS_AT_ONCE, CACHE_WORDS = 32, 250_000, 700_000
+BLOCK, WORDS_AT_ONCE, CACHE_WORDS = 32, 150_000, 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -246,8 +246,8 @@ class Labeller:
                 more = np.zeros((max(len(self.ids), 2 * len(self.table)), self.table.shape[1]), np.float32)
                 more[:known] = self.table[:known]
                 self.table = more
-            for lo in range(0, len(new), 50_000):
-                part = new[lo:lo + 50_000]
+            for lo in range(0, len(new), 20_000):
+                part = new[lo:lo + 20_000]
                 x = potentials(self.model.weights, *features(part))
                 self.table[known + lo:known + lo + len(part)] = np.exp(x - x.max(1, keepdims=True))
             self.ids.new = []
@@ -310,17 +310,6 @@ class Labeller:
         return p / p.sum(1, keepdims=True)
 
 
-_LABELLERS: dict[str, Labeller] = {}
-
-
-def _labeller(model: Model, key: str) -> Labeller:
-    """One labeller per Python worker, kept from task to task."""
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(model)
-    return _LABELLERS[key]
-
-
 def _portions(texts: list[list[str]]) -> Iterator[list[int]]:
     """Numbers of the texts with words, so many at a time as hold WORDS_AT_ONCE words."""
     now, size = [], 0
@@ -346,11 +335,11 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        worker = _labeller(model, key)
+        worker = kept_by_worker(key, lambda: Labeller(model))
         for batch in batches:
             texts = batch.column(text_at)
             languages, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            step = 2000
+            step = 500
             for lo in range(0, len(texts) if model.labels else 0, step):
                 found = [words_of(t) if t else [] for t in texts.slice(lo, step).to_pylist()]
                 for portion in _portions(found):
@@ -372,7 +361,7 @@ def label_words(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
     key = model.key()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        worker = _labeller(model, key)
+        worker = kept_by_worker(key, lambda: Labeller(model))
         for pdf in batches:
             found = [words_of(t) if t else [] for t in pdf["text"]]
             labels: list[list[str]] = [[] for _ in found]

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import LOWER, UPPER, broadcast_if_small, materialise
+from orderflow.llm.common import LOWER, UPPER, broadcast_if_small, kept_by_worker, materialise
 from orderflow.llm.graph import components
 
 SEED = 42
@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, id_col:
     """(doc_id, fp) of every row, fp as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept_by_worker("nothing", lambda: None)  # make room
         for pdf in batches:
             fps = [simhash(shingle_hashes(t, shingle_words)) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array(fps, np.int64)})

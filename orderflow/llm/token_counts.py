@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderflow.llm.common import kept_by_worker
+
 WORD_START = "▁"
 #: Words that a Python worker keeps counts of (speed only).
 CACHE_WORDS = 700_000
@@ -114,20 +116,9 @@ class _Counts(dict):
         return n
 
 
-_KEPT: dict[str, _Counts] = {}
-
-
-def _counts(broadcast, key: str) -> _Counts:
-    """One store per Python worker and vocabulary, kept from task to task."""
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = _Counts(broadcast.value)
-    return _KEPT[key]
-
-
 def _count(broadcast, key: str) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = _counts(broadcast, key)
+        kept = kept_by_worker(key, lambda: _Counts(broadcast.value))
         for pdf in batches:
             out = []
             for text in pdf["text"]:

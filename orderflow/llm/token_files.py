@@ -31,7 +31,6 @@ import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,6 +40,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orderflow.llm.common import kept_by_worker
+
 NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, stem string, n_docs long, n_tokens long"
 
@@ -139,9 +140,8 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
-@lru_cache(maxsize=2)
 def _encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept_by_worker(("encoder", path), lambda: Encoder(path))
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
