@@ -90,8 +90,9 @@ def with_copies(docs: DataFrame, *, seed: int = 0, weights: Sequence[float] = (3
             .withColumn("class", F.when(F.col("size") > 0, F.floor(F.log("size") * 8)).otherwise(-1)))
     counts = materialise(rows.groupBy("name", "source", "class", "slot")
                          .agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
-    deal = (counts.groupBy("name", "class").agg(F.sum("n").alias("n"))
-            .select("name", "class", F.ceil(F.col("n") / bucket_rows).alias("buckets")))
+    deal = materialise(counts.groupBy("name", "class").agg(F.sum("n").alias("n"))
+                       .select("name", "class", F.ceil(F.col("n") / bucket_rows).alias("buckets")), "mix-deal")
+    deal = broadcast_if_small(deal, SMALL_ROWS)
     bucket = F.floor(F.col("slot") * F.col("buckets") / SLOTS)
     earlier = Window.partitionBy("name").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (counts.join(deal, ["name", "class"]).groupBy("name", "class", bucket.alias("bucket"))
@@ -105,7 +106,7 @@ def with_copies(docs: DataFrame, *, seed: int = 0, weights: Sequence[float] = (3
                        .select("name", "class", "bucket", "start", "source_size", "target", rate.alias("rate"),
                                _fraction(F.lit(f"offset {seed}"), F.col("name")).alias("offset")), "mix-plan")
     in_bucket = Window.partitionBy("name", "class", "bucket").orderBy("size", "doc_id", "text_md5")
-    ranked = (rows.join(broadcast_if_small(materialise(deal, "mix-deal"), SMALL_ROWS), ["name", "class"])
+    ranked = (rows.join(deal, ["name", "class"])
               .withColumn("bucket", bucket)
               .withColumn("place", F.row_number().over(in_bucket) - 1)
               .join(broadcast_if_small(plan, SMALL_ROWS), ["name", "class", "bucket"]))
