@@ -45,8 +45,8 @@ SHINGLE_WORDS, RADIUS = 4, 4
 MAX_BUCKET = 4096
 #: Pairs whose bit planes a task holds at once, shingles whose bits it unpacks at once, pairs to a block.
 PAIRS_AT_ONCE, SHINGLES_AT_ONCE, BLOCK_PAIRS = 1 << 18, 1 << 16, 1 << 12
-#: Rows of the hot-bucket table up to which it is broadcast.
-SMALL_ROWS = 100_000
+#: Rows of the hot-bucket table, and ids (8 bytes) of the documents that go, up to which they are broadcast.
+SMALL_ROWS, MANY_ROWS = 100_000, 1_000_000
 
 _QUARTERS = [(h, np.uint64((2 ** 64 - 1) // (2 ** h + 1))) for h in (32, 16, 8, 4, 2, 1)]
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -246,9 +246,10 @@ def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col:
                            shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """``docs`` without all but the smallest doc_id of each component."""
     fps = fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col)
-    found = materialise(near_components(fps, radius).where("doc_id = component_id").groupBy("doc_id").count(), "kept")
-    kept = docs.join(found.select(F.col("doc_id").alias("__kept_id")),
-                     F.col(id_col) == F.col("__kept_id"), "left_semi")
-    if not found.where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col])
-    return kept.union(docs.where(F.col(id_col).isNull()))
+    found = materialise(near_components(fps, radius), "components")
+    others = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct(),
+                         "others")
+    kept = docs.join(broadcast_if_small(others, MANY_ROWS), F.col(id_col) == F.col("__other"), "left_anti")
+    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
