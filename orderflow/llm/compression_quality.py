@@ -8,7 +8,7 @@ dictionary. A logistic curve, fitted on labelled documents that took no part
 in the dictionaries, turns evidence into a probability of label 1.
 
 The sample is bounded: the ``docs_per_label`` labelled documents of each
-label least by hash, ``pieces_per_doc`` pieces of ``piece_bytes`` evenly
+label least by hash of the id, ``pieces_per_doc`` pieces of ``piece_bytes`` evenly
 spread over each for the dictionaries. Every third of them calibrates instead.
 All documents are scored over their whole texts, in partitions.
 
@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import learnable
+from orderflow.llm.common import broadcast_if_small, learnable, materialise
 
 #: Bounds of the training sample.
 DOCS_PER_LABEL, PIECES_PER_DOC, PIECE_BYTES = 1200, 4, 1024
@@ -105,22 +105,22 @@ def calibrate(evidence: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tu
 def fit(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOCS_PER_LABEL, id_col: str = "doc_id",
         text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from the texts of ``docs`` that ``labels`` marks; pass only rows that may be learned from."""
-    marked = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-              .join(labels.where(F.col(label_col).isin(0, 1))
-                    .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")), "id")
-              .where(F.col("text") != ""))
-    least = Window.partitionBy("label").orderBy("h", "text")
+    marks = labels.where(F.col(label_col).isin(0, 1)) \
+        .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    # the sample is chosen by id, so that only its texts move
+    least = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    chosen = materialise(marks.withColumn("k", F.row_number().over(least)).where(F.col("k") <= docs_per_label),
+                         "labelled-sample")
     shares = {r["label"]: r["n"] for r in
-              labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(label_col).cast("int").alias("label"))
-              .agg(F.count("*").alias("n")).collect()}
+              marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pd.DataFrame({"label": pdf["label"], "k": pdf["k"],
                                 "pieces": [pieces(t.encode(), PIECES_PER_DOC, PIECE_BYTES) for t in pdf["text"]]})
 
-    sample = (marked.withColumn("h", F.xxhash64("text")).withColumn("k", F.row_number().over(least))
-              .where(F.col("k") <= docs_per_label).select("label", "k", "text")
+    sample = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text") != "")
+              .join(broadcast_if_small(chosen, 4 * DOCS_PER_LABEL), "id").select("label", "k", "text")
               .mapInPandas(cut, "label int, k int, pieces array<binary>").toPandas().sort_values(["label", "k"]))
     total = sum(shares.values())
     share = min(max(shares.get(1, 0) / total, 1e-3), 1 - 1e-3) if total else 0.5
