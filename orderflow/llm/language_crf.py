@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import kept_by_worker, learnable
+from orderflow.llm.common import broadcast_if_small, kept_by_worker, learnable, materialise
 
 UNKNOWN = "und"
 #: Bounds of the training sample.
@@ -49,6 +49,8 @@ FEATURES = 1 << 18
 ITERATIONS, RATE, RIDGE = 25, 0.2, 1e-5
 #: Words of a text that make one block, words that a task labels at a time, words kept per Python worker (speed only).
 BLOCK, WORDS_AT_ONCE, CACHE_WORDS = 32, 150_000, 300_000
+#: Rows of the sample's list (label and hash) up to which it is broadcast.
+SMALL_ROWS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -130,9 +132,12 @@ def fit(docs: DataFrame, *, docs_per_label: int = DOCS_PER_LABEL, sequences_per_
     """Learn from the non-null texts and languages of ``docs``."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()) \
         .select(F.col(lang_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    # the hashes are ranked without the texts; of equal texts one is read
     least = Window.partitionBy("label").orderBy("h")
-    sample = (rows.withColumn("k", F.row_number().over(least)).where(F.col("k") <= docs_per_label)
-              .select("label", "text")
+    chosen = materialise(rows.select("label", "h").distinct().withColumn("k", F.row_number().over(least))
+                         .where(F.col("k") <= docs_per_label).select("label", "h"), "language-sample")
+    sample = (rows.join(broadcast_if_small(chosen, SMALL_ROWS), ["label", "h"])
+              .groupBy("label", "h").agg(F.first("text").alias("text")).select("label", "text")
               .mapInPandas(_sequences(sequences_per_doc, sequence_words), "label string, words array<string>")
               .toPandas())
     sample = sample.sort_values(["label", "words"], key=lambda c: c.map(str)).reset_index(drop=True)
