@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.functions.time import day_range, day_slice, epoch_micros, format_delay
+from orderflow.functions.time import day_range, day_slice, epoch_micros, format_delay, range_slice
 from orderflow.functions.stats import round6, share_of_total
 from orderflow.schemas import N_RIDERS
 
@@ -119,8 +119,10 @@ def daily_kpis(events: DataFrame, orders: DataFrame, users: DataFrame, as_of: dt
     amounts = orders.select("order_id", "total_amount")
     new_customers = (users.filter(F.col("registration_date") == F.lit(as_of))
                      .agg(F.countDistinct("user_id").alias("c")).scalar())
-    last = (events.filter(F.col("status") == "pending")
-            .agg(F.max("event_timestamp").alias("m")).scalar())
+    made = events.filter(F.col("status") == "pending")
+    if "event_date" in events.columns:  # day-partitioned log: only the newest day with an order is read for its time
+        made = made.filter(F.col("event_date") == made.agg(F.max("event_date").alias("d")).scalar())
+    last = made.agg(F.max("event_timestamp").alias("m")).scalar()
     pending_amount = F.when(F.col("n_pending") > 0, F.col("total_amount") * F.col("n_pending"))
     return (stats.join(amounts, "order_id", "left")
             .agg(F.coalesce(F.sum("n_pending"), F.lit(0)).cast("bigint").alias("total_orders"),
@@ -228,7 +230,7 @@ def orders_by_slot(events: DataFrame, as_of: dt.date, slot_minutes: int = 15,
 
 # -- delays ------------------------------------------------------------------
 
-def avg_delay(events: DataFrame, as_of: dt.date, status: str) -> DataFrame:
+def avg_delay(events: DataFrame, as_of: dt.date, status: str, lookback_days: int | None = None) -> DataFrame:
     """Mean time from an order's *pending* row to its ``status`` rows of the day.
 
     The literal self-join pairs every ``status`` row with every pending row
@@ -236,12 +238,21 @@ def avg_delay(events: DataFrame, as_of: dt.date, status: str) -> DataFrame:
     ``(count, sum of micros)``, so the mean over all pairs is
     ``sum(a * n - S) / sum(n)`` without materialising pairs.  Exact in
     integer microseconds (the dashboard's ``avg(interval)``; T14).
+
+    Pending rows are first semi-joined to the day's orders, so the history
+    is filtered before it is aggregated. ``lookback_days`` also bounds it by
+    date (on a day-partitioned log: by partition), for orders that are known
+    to be placed at most that many days before their ``status`` row; rows
+    after the day are then left out too.
     """
-    pend = (events.filter(F.col("status") == "pending")
-            .groupBy("order_id")
-            .agg(F.count(F.lit(1)).alias("np"), F.sum(epoch_micros("event_timestamp")).alias("sp")))
     tgt = (day_slice(events, as_of).filter(F.col("status") == status)
            .select("order_id", epoch_micros("event_timestamp").alias("a")))
+    history = events if lookback_days is None else \
+        range_slice(events, as_of - dt.timedelta(days=lookback_days), as_of)
+    pend = (history.filter(F.col("status") == "pending")
+            .join(tgt.select("order_id").distinct(), "order_id", "left_semi")
+            .groupBy("order_id")
+            .agg(F.count(F.lit(1)).alias("np"), F.sum(epoch_micros("event_timestamp")).alias("sp")))
     agg = (tgt.join(pend, "order_id")
            .agg(F.sum(F.col("a") * F.col("np") - F.col("sp")).alias("num"),
                 F.sum("np").alias("den")))

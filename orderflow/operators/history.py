@@ -52,14 +52,15 @@ def region_orders(events: DataFrame, orders: DataFrame, year: int,
     per = _per_order_month(events, year, status)
     return (per.join(orders.select("order_id", "delivery_city"), "order_id", "left")
             .groupBy("month", "delivery_city")
-            .agg(F.sum("n").cast("bigint").alias("num_orders")))
+            .agg(F.sum("n").cast("bigint").alias("num_orders"))
+            .orderBy("month", "delivery_city"))
 
 
 def year_bounds(events: DataFrame, status: str = "pending") -> DataFrame:
     """first and last year with a pending event (NULLs when there is none)."""
     ev = events.filter(F.col("status") == status)
-    return ev.agg(F.year(F.min("event_timestamp")).alias("min_year"),
-                  F.year(F.max("event_timestamp")).alias("max_year"))
+    at = "event_date" if "event_date" in events.columns else "event_timestamp"  # partition value, if there is one
+    return ev.agg(F.year(F.min(at)).alias("min_year"), F.year(F.max(at)).alias("max_year"))
 
 
 def year_list(events: DataFrame, status: str = "pending") -> DataFrame:

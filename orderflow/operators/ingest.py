@@ -229,11 +229,6 @@ def append_menu(menu: DataFrame, items: DataFrame, as_of: dt.date | None = None)
     return menu.select(*cols, "date_added").unionByName(add)
 
 
-def assign_ids(df: DataFrame, key_cols: list[str], name: str = "id") -> DataFrame:
-    """Surrogate key from the natural key (no global numbering, no single task)."""
-    return df.withColumn(name, F.xxhash64(*key_cols))
-
-
 def ingest_pipeline(requests: DataFrame, menu: DataFrame, users_existing: DataFrame,
                     lines: DataFrame | None = None) -> dict[str, DataFrame]:
     """All ingest outputs from one split: the tables the original writes per order.

@@ -16,14 +16,16 @@ def last_orders(legacy: DataFrame, k: int = 20) -> DataFrame:
 
 
 def legacy_totals(legacy: DataFrame) -> DataFrame:
-    """Active orders, order count and revenue (0 when there is none)."""
+    """Active orders, order count and revenue (0 when there is none); a decimal cost keeps its cents."""
+    money = "bigint" if legacy.schema["cost"].dataType.typeName() in ("integer", "long") else "decimal(38,2)"
     return legacy.agg(F.count(F.when(F.col("order_completed") == 0, 1)).alias("active_orders"),
                       F.count(F.lit(1)).alias("order_count"),
-                      F.coalesce(F.sum("cost"), F.lit(0)).cast("bigint").alias("total_revenue"))
+                      F.coalesce(F.sum("cost"), F.lit(0)).cast(money).alias("total_revenue"))
 
 
 def transaction_lines(legacy: DataFrame) -> DataFrame:
     """The transaction log line per confirmed order."""
+    # Fixed value: the line's wording must equal the original's.
     line = F.format_string("Order by: %s: %s (size %s). Cost: %s. Order time: %s",
                            F.col("username"), F.col("food"), F.col("size"), F.col("cost").cast("string"),
                            F.date_format("time", "yyyy-MM-dd HH:mm:ss"))

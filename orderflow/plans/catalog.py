@@ -52,8 +52,4 @@ def fx(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from orderflow.plans import dashboards, orderlog, feeds  # noqa: F401
-    try:
-        from orderflow.plans import streams  # noqa: F401
-    except ImportError:  # pragma: no cover - streaming module optional while building
-        pass
+    from orderflow.plans import dashboards, feeds, orderlog, streams  # noqa: F401

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from orderflow.functions.stats import share_of_total
 from orderflow.operators import daily, history, menu, riders
+from orderflow.operators import ingest as menu_ingest
 from orderflow.plans.catalog import AS_OF, N, RIDER, RIDER_NAME, YEAR, fx, register
 
 DAY = "DATE '1998-06-15'"
@@ -339,6 +343,27 @@ def q_category_counts(spark, sf):
     return menu.category_counts(fx(spark, sf).menu_items)
 
 
+@register("category_share", oracle="""
+SELECT category, COUNT(*) AS count, round(COUNT(*)::DOUBLE / SUM(COUNT(*)) OVER (), 6) AS share
+FROM f_menu_items WHERE category IS NOT NULL GROUP BY category
+""")
+def q_category_share(spark, sf):
+    """Each category's share of the menu, NULL categories dropped."""
+    return share_of_total(menu.category_counts(fx(spark, sf).menu_items), "count")
+
+
+@register("append_menu", oracle="""
+SELECT item_id, name, description, price, category,
+       CASE WHEN item_id % 5 = 0 THEN DATE '1998-06-15' ELSE date_added END AS date_added
+FROM f_menu_items
+""")
+def q_append_menu(spark, sf):
+    """Every fifth part arrives as a new item without a date and is appended to the menu of the others."""
+    items = fx(spark, sf).menu_items
+    new = items.filter(F.col("item_id") % 5 == 0).drop("date_added")
+    return menu_ingest.append_menu(items.filter(F.col("item_id") % 5 != 0), new, AS_OF)
+
+
 @register("price_counts", oracle="SELECT price, COUNT(*) AS count FROM f_menu_items GROUP BY price")
 def q_price_counts(spark, sf):
     return menu.price_counts(fx(spark, sf).menu_items)

@@ -78,14 +78,9 @@ def q_route_points(spark, sf):
     path = scratch_path(spark, "routes")
     geojson.routes_from_positions(f.positions).select("doc").write.mode("overwrite").text(path)
     geo = geojson.read_route(spark, path, multi_line=False)
-    pts = geo.select(F.col("features")[0]["properties"].alias("props"), "features")
-    pts = (pts.select(F.col("props")["busline"].alias("busline"),
-                      F.col("props")["block"].cast("bigint").alias("block"),
-                      F.col("features")[0]["geometry"]["coordinates"].alias("c"))
-           .select("busline", "block", F.posexplode("c").alias("point", "xy"))
-           .select("busline", "block", "point", F.col("xy")[1].alias("latitude"),
-                   F.col("xy")[0].alias("longitude")))
-    return pts
+    return geojson.feature_points(geo).select(
+        F.col("properties")["busline"].alias("busline"), F.col("properties")["block"].cast("bigint").alias("block"),
+        "point", "latitude", "longitude")
 
 
 @register("last_orders", oracle="SELECT * FROM f_legacy_orders ORDER BY time DESC NULLS FIRST, id LIMIT 20",

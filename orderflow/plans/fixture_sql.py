@@ -18,8 +18,6 @@ SELECT p_partkey AS item_id, p_name AS name,
                    WHEN 'SMALL' THEN 'Drink' WHEN 'LARGE' THEN 'Wrap' ELSE NULL END AS category,
        DATE '1995-01-01' AS date_added
 FROM part""",
-    "f_riders": """
-SELECT CAST(s_suppkey AS INT) AS rider_id, s_name AS name FROM supplier WHERE s_suppkey BETWEEN 1 AND 4""",
     "f_roster": """
 SELECT CAST(s_suppkey AS INT) AS rider_id, s_name AS name FROM supplier""",
     "f_pending": """
@@ -38,16 +36,16 @@ FROM lineitem""",
     "f_orders_status": """
 SELECT order_id, 'pending' AS status, CAST(NULL AS INT) AS rider_id, ts AS event_timestamp FROM f_pending
 UNION ALL
-SELECT order_id, 'accepted', CAST(1 + order_id % 13 % 4 AS INT), ts + (1 + order_id % 11) * INTERVAL '1' MINUTE
+SELECT order_id, 'accepted', CAST(order_id % (SELECT greatest(1, count(*)) FROM supplier) AS INT), ts + (1 + order_id % 11) * INTERVAL '1' MINUTE
 FROM f_pending WHERE outcome = 'F'
 UNION ALL
-SELECT order_id, 'completed', CAST(1 + order_id % 13 % 4 AS INT),
+SELECT order_id, 'completed', CAST(order_id % (SELECT greatest(1, count(*)) FROM supplier) AS INT),
        ts + (2 * (1 + order_id % 11) + order_id % 17) * INTERVAL '1' MINUTE
 FROM f_pending WHERE outcome = 'F' AND order_id % 7 <> 0
 UNION ALL
-SELECT order_id, 'denied', r.rider_id, ts + (r.rider_id + order_id % 9) * INTERVAL '1' MINUTE
-FROM f_pending CROSS JOIN f_riders r
-WHERE r.rider_id <= 3 AND (outcome = 'P' OR (outcome = 'O' AND r.rider_id <= order_id % 3))""",
+SELECT order_id, 'denied', CAST((order_id + nth) % (SELECT greatest(1, count(*)) FROM supplier) AS INT), ts + (nth + order_id % 9) * INTERVAL '1' MINUTE
+FROM f_pending CROSS JOIN (VALUES (1), (2), (3)) later(nth)
+WHERE outcome = 'P' OR (outcome = 'O' AND nth <= order_id % 3)""",
     "f_users": """
 SELECT c_custkey AS user_id, concat(c_name, '@example.com') AS email,
        concat('+39', lpad(CAST(c_custkey AS VARCHAR(10)), 10, '0')) AS phone_number,
@@ -68,11 +66,13 @@ FROM (SELECT order_id, item_id, CAST(sum(q) AS INT) AS quantity
             FROM lineitem) x
       GROUP BY order_id, item_id) y""",
     "f_responses": """
-SELECT event_id AS response_id, event_id % 1000 AS order_id, CAST(1 + user_id % 4 AS INT) AS rider_id,
+SELECT event_id AS response_id, event_id % (SELECT greatest(1, count(*) // 8) FROM orders) AS order_id,
+       CAST(user_id % (SELECT greatest(1, count(*)) FROM supplier) AS INT) AS rider_id,
        CASE event_type WHEN 'click' THEN 'accepted' ELSE 'denied' END AS status, ts AS event_timestamp
-FROM events WHERE event_type IN ('click', 'error')""",
+FROM events""",
     "f_decisions": """
-SELECT event_id AS response_id, event_id % 1000 AS order_id, CAST(1 + user_id % 4 AS INT) AS rider_id,
+SELECT event_id AS response_id, event_id % (SELECT greatest(1, count(*) // 8) FROM orders) AS order_id,
+       CAST(user_id % (SELECT greatest(1, count(*)) FROM supplier) AS INT) AS rider_id,
        CASE event_type WHEN 'click' THEN 'Yes' WHEN 'error' THEN 'NO' WHEN 'view' THEN 'maybe' WHEN 'signup' THEN 'yes' ELSE 'no' END AS decision,
        ts AS event_timestamp
 FROM events""",

@@ -86,7 +86,7 @@ SELECT order_id, 'pending' AS status, CAST(NULL AS INTEGER) AS rider_id, order_c
 FROM ok WHERE order_id IN (SELECT order_id FROM tot)
 """)
 def q_initial_events(spark, sf):
-    return ingest.initial_events(_orders(spark, sf))
+    return ingest.initial_events(_split(spark, sf)[1][0])
 
 
 @register("order_details", oracle=_INGEST + "SELECT order_id, item_id, quantity, subtotal FROM ok_lines")

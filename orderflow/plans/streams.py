@@ -12,13 +12,22 @@ from orderflow.plans import dashboards, feeds, orderlog  # noqa: F401  (oracles
 from orderflow.plans.catalog import N, ORACLE_RAW, fx, register
 from orderflow.session import scratch_path
 from orderflow.sources import messages
-from orderflow.sources.fixtures import positions_from, responses_from
+from orderflow.sources.fixtures import positions_from
 from orderflow.streaming import events_stream, gate_stream, run_available_now, table_stream
 from orderflow.streaming.gate import gate_into_log
 from orderflow.streaming.sinks import append_batch
 
-FILES = 4  # files per derived feed ...
-PER_TRIGGER = 2  # ... read two per micro-batch, so every stream runs several micro-batches
+#: A feed is replayed in this many micro-batches; each reads its share of the feed's files, however many those are.
+MICRO_BATCHES = 4
+
+
+def _files(spark) -> int:
+    """Files of a derived feed: the session's shuffle partitions, so that write and read tasks grow with the job."""
+    return max(MICRO_BATCHES, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _per_trigger(spark) -> int:
+    return -(-_files(spark) // MICRO_BATCHES)
 
 
 def _ntz(df: DataFrame, *cols: str) -> DataFrame:
@@ -29,15 +38,22 @@ def _ntz(df: DataFrame, *cols: str) -> DataFrame:
 
 def _write_feed(spark, values: DataFrame, name: str) -> str:
     path = scratch_path(spark, name)
-    values.select("value").repartition(FILES).write.mode("overwrite").text(path)
+    values.select("value").repartition(_files(spark)).write.mode("overwrite").text(path)
     return path
 
 
 def _log_stream(spark, f):
     """The status log, materialised as a table, replayed as a file stream."""
     path = scratch_path(spark, "status-log")
-    f.orders_status.repartition(FILES).write.mode("overwrite").parquet(path)
-    return table_stream(spark, path, schemas.ORDERS_STATUS, ts_cols=("event_timestamp",), max_files=PER_TRIGGER)
+    f.orders_status.repartition(_files(spark)).write.mode("overwrite").parquet(path)
+    return table_stream(spark, path, schemas.ORDERS_STATUS, ts_cols=("event_timestamp",), max_files=_per_trigger(spark))
+
+
+def _event_stream(spark, f):
+    """The event table, written as a feed of many files, replayed in several micro-batches (in no time order)."""
+    path = scratch_path(spark, "event-feed")
+    f.table("events").repartition(_files(spark)).write.parquet(path)
+    return table_stream(spark, path, schemas.EVENTS, ts_cols=("ts",), max_files=_per_trigger(spark))
 
 
 def slot_counts(events: DataFrame, minutes: int = 15, watermark: str | None = None) -> DataFrame:
@@ -50,7 +66,7 @@ def slot_counts(events: DataFrame, minutes: int = 15, watermark: str | None = No
 
 def _confirmed_stream(spark, f):
     path = _write_feed(spark, feeds.confirmed_messages(f), "confirmed-feed")
-    return messages.read_feed(spark, fmt="text", path=path, max_per_trigger=PER_TRIGGER)
+    return messages.read_feed(spark, fmt="text", path=path, max_per_trigger=_per_trigger(spark))
 
 
 @register("stream_orders", oracle="""
@@ -61,7 +77,7 @@ def q_stream_orders(spark, sf):
     """A5: order messages published as JSON (A8), consumed as a stream, exploded to lines."""
     f = fx(spark, sf)
     path = _write_feed(spark, messages.to_messages(f.order_requests, "order_id"), "order-feed")
-    s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=PER_TRIGGER))
+    s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=_per_trigger(spark)))
     lines = s.select("order_id", "email", "city", F.explode("order_info").alias("k", "quantity")).select(
         "order_id", "email", "city", F.col("k").try_cast("bigint").alias("item_id"), "quantity")
     return run_available_now(lines, "stream-orders")
@@ -82,8 +98,8 @@ def q_stream_route_by_topic(spark, sf):
     f = fx(spark, sf)
     path = scratch_path(spark, "topics")
     both = feeds.confirmed_messages(f).unionByName(feeds.completed_messages(f))
-    both.repartition(FILES).write.partitionBy("topic").mode("overwrite").text(path)
-    s = messages.read_feed(spark, fmt="text", path=path, max_per_trigger=2)
+    both.repartition(_files(spark)).write.partitionBy("topic").mode("overwrite").text(path)
+    s = messages.read_feed(spark, fmt="text", path=path, max_per_trigger=_per_trigger(spark))
     return run_available_now(messages.route_by_topic(s), "stream-topics")
 
 
@@ -100,7 +116,7 @@ def q_stream_positions(spark, sf):
         F.date_format("position_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
         "latitude", "longitude")).alias("value"))
     path = _write_feed(spark, msg, "position-feed")
-    s = messages.parse_positions(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=PER_TRIGGER))
+    s = messages.parse_positions(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=_per_trigger(spark)))
     return run_available_now(s, "stream-positions")
 
 
@@ -164,7 +180,7 @@ def q_stream_unique_emails(spark, sf):
 @register("stream_latest_positions", oracle=ORACLE_RAW["latest_positions"])
 def q_stream_latest_positions(spark, sf):
     """J3 streaming: the newest position per known line."""
-    pos = positions_from(events_stream(spark, sf, max_files=1))
+    pos = positions_from(_event_stream(spark, fx(spark, sf)))
     out = run_available_now(positions.latest_positions(pos), "stream-latest", mode="update",
                             keys=["busline"])
     return _ntz(out, "position_ts")
@@ -176,8 +192,8 @@ SELECT order_id, (SELECT COUNT(DISTINCT rider_id) FROM f_roster) AS n_offers FRO
 def q_stream_offers(spark, sf):
     """C1 streaming: each incoming order is offered to the current rider roster."""
     f = fx(spark, sf)
-    path = _write_feed(spark, messages.to_messages(f.order_requests, "order_id"), "offer-feed")
-    s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=PER_TRIGGER))
+    path = _write_feed(spark, f.requests.select(F.to_json(F.struct("order_id")).alias("value")), "offer-feed")
+    s = messages.parse_order_messages(messages.read_feed(spark, fmt="text", path=path, max_per_trigger=_per_trigger(spark)))
     roster = f.roster
 
     def write(df, epoch_id, out):
@@ -191,7 +207,7 @@ def q_stream_offers(spark, sf):
 def q_stream_match(spark, sf):
     """C10 streaming: responses joined to the static order table and rider roster."""
     f = fx(spark, sf)
-    resp = responses_from(events_stream(spark, sf, max_files=1))
+    resp = f.responses_of(_event_stream(spark, f))
     out = run_available_now(lifecycle.match_responses(resp, f.orders, f.roster), "stream-match")
     return _ntz(out, "event_timestamp")
 
@@ -199,7 +215,7 @@ def q_stream_match(spark, sf):
 @register("gate_stream", oracle=ORACLE_RAW["gate_batch"], headline=True)
 def q_gate_stream(spark, sf):
     """C6 streaming: the decision gate with per-order state."""
-    resp = responses_from(events_stream(spark, sf, max_files=1))
+    resp = fx(spark, sf).responses_of(events_stream(spark, sf, max_files=1))
     out = run_available_now(gate_stream(resp, N), "stream-gate")
     return _ntz(out, "event_timestamp")
 
@@ -207,7 +223,7 @@ def q_gate_stream(spark, sf):
 @register("gate_stream_table", oracle=ORACLE_RAW["gate_batch"])
 def q_gate_stream_table(spark, sf):
     """C6 streaming with the admitted-response log as the gate state (no per-order Python)."""
-    resp = responses_from(events_stream(spark, sf, max_files=1))
+    resp = fx(spark, sf).responses_of(events_stream(spark, sf, max_files=1))
     log_path = scratch_path(spark, "gate-log")
     out = run_available_now(resp, "gate-table", out=log_path, foreach_batch=gate_into_log(log_path, N))
     return _ntz(out.drop("epoch_id"), "event_timestamp")

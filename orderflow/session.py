@@ -125,6 +125,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def list_folder(spark: SparkSession, path: str) -> list[str] | None:
+    """Names in ``path`` on any Hadoop file system; ``None`` if it does not exist. Other failures are raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything this application has materialised with ``scratch_path``.
 

@@ -65,15 +65,17 @@ class Fixtures:
         )
 
     @cached_property
-    def riders(self) -> DataFrame:
-        s = self.table("supplier")
-        return (s.filter(F.col("s_suppkey").between(1, 4))
-                 .select(F.col("s_suppkey").cast("int").alias("rider_id"),
-                         F.col("s_name").alias("name")))
+    def n_riders(self) -> int:
+        return max(1, self.table("supplier").count())
+
+    @cached_property
+    def n_answered(self) -> int:
+        """Orders that responses go to: an eighth of all, so that an order gets several whatever the scale."""
+        return max(1, self.table("orders").count() // 8)
 
     @cached_property
     def roster(self) -> DataFrame:
-        """The whole rider table (every supplier); ``riders`` is the active subset."""
+        """The rider table: every supplier."""
         s = self.table("supplier")
         return s.select(F.col("s_suppkey").cast("int").alias("rider_id"), F.col("s_name").alias("name"))
 
@@ -115,7 +117,7 @@ class Fixtures:
     def orders_status(self) -> DataFrame:
         """Append-only status log: one pending row per order plus rider events."""
         p = self.pending
-        rider_of = (1 + F.col("order_id") % 13 % 4).cast("int")
+        rider_of = (F.col("order_id") % self.n_riders).cast("int")
         pend = p.select("order_id", F.lit("pending").alias("status"),
                         F.lit(None).cast("int").alias("rider_id"),
                         F.col("ts").alias("event_timestamp"))
@@ -126,16 +128,14 @@ class Fixtures:
                  .select("order_id", F.lit("completed").alias("status"), rider_of.alias("rider_id"),
                          _plus_minutes(F.col("ts"), 2 * (1 + F.col("order_id") % 11) + F.col("order_id") % 17)
                          .alias("event_timestamp")))
-        # Denials: riders 1..3 for outcome P, riders 1..(order_id % 3) for outcome O.
-        # Candidate ids come from a 3-element literal array (no product with the
-        # rider table) and are then checked against the rider dimension.
+        # Denials by the riders after the order's own: 3 for outcome P, order_id % 3 for outcome O.
         n_deny = F.when(F.col("outcome") == "P", 3).otherwise(F.col("order_id") % 3)
         den = (p.filter(F.col("outcome").isin("P", "O"))
-                .withColumn("rider_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-                .filter(F.col("rider_id") <= n_deny)
-                .join(F.broadcast(self.riders.select("rider_id")), "rider_id", "left_semi")
-                .select("order_id", F.lit("denied").alias("status"), F.col("rider_id").cast("int"),
-                        _plus_minutes(F.col("ts"), F.col("rider_id") + F.col("order_id") % 9)
+                .withColumn("nth", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+                .filter(F.col("nth") <= n_deny)
+                .select("order_id", F.lit("denied").alias("status"),
+                        ((F.col("order_id") + F.col("nth")) % self.n_riders).cast("int").alias("rider_id"),
+                        _plus_minutes(F.col("ts"), F.col("nth") + F.col("order_id") % 9)
                         .alias("event_timestamp")))
         return pend.unionByName(acc).unionByName(comp).unionByName(den)
 
@@ -195,11 +195,15 @@ class Fixtures:
 
     @cached_property
     def responses(self) -> DataFrame:
-        return responses_from(self.table("events"))
+        return self.responses_of(self.table("events"))
+
+    def responses_of(self, events: DataFrame) -> DataFrame:
+        """The responses of an event frame, also a streaming one."""
+        return responses_from(events, self.n_answered, self.n_riders)
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return decisions_from(self.table("events"))
+        return decisions_from(self.table("events"), self.n_answered, self.n_riders)
 
     @cached_property
     def positions(self) -> DataFrame:
@@ -222,17 +226,16 @@ class Fixtures:
 
 # -- mappings of the event table (shared by batch views and streams) ----------
 
-def responses_from(e: DataFrame) -> DataFrame:
-    """Rider responses: click -> accepted, error -> denied."""
-    return (e.filter(F.col("event_type").isin("click", "error"))
-             .select(F.col("event_id").alias("response_id"),
-                     (F.col("event_id") % 1000).alias("order_id"),
-                     (1 + F.col("user_id") % 4).cast("int").alias("rider_id"),
-                     F.when(F.col("event_type") == "click", "accepted").otherwise("denied").alias("status"),
-                     F.col("ts").alias("event_timestamp")))
+def responses_from(e: DataFrame, n_orders: int, n_riders: int) -> DataFrame:
+    """Rider responses: click -> accepted, any other event -> denied; orders 0 to n_orders - 1 in turn."""
+    return e.select(F.col("event_id").alias("response_id"),
+                    (F.col("event_id") % n_orders).alias("order_id"),
+                    (F.col("user_id") % n_riders).cast("int").alias("rider_id"),
+                    F.when(F.col("event_type") == "click", "accepted").otherwise("denied").alias("status"),
+                    F.col("ts").alias("event_timestamp"))
 
 
-def decisions_from(e: DataFrame) -> DataFrame:
+def decisions_from(e: DataFrame, n_orders: int, n_riders: int) -> DataFrame:
     """Raw typed decisions (mixed case, some invalid)."""
     decision = (F.when(F.col("event_type") == "click", "Yes")
                 .when(F.col("event_type") == "error", "NO")
@@ -240,8 +243,8 @@ def decisions_from(e: DataFrame) -> DataFrame:
                 .when(F.col("event_type") == "signup", "yes")
                 .otherwise("no"))
     return e.select(F.col("event_id").alias("response_id"),
-                    (F.col("event_id") % 1000).alias("order_id"),
-                    (1 + F.col("user_id") % 4).cast("int").alias("rider_id"),
+                    (F.col("event_id") % n_orders).alias("order_id"),
+                    (F.col("user_id") % n_riders).cast("int").alias("rider_id"),
                     decision.alias("decision"),
                     F.col("ts").alias("event_timestamp"))
 

@@ -19,10 +19,15 @@ def read_route(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 
 def route_points(geo: DataFrame) -> DataFrame:
     """One row per route vertex: feature index, point index, lat = c[1], lon = c[0]."""
+    return feature_points(geo).drop("properties")
+
+
+def feature_points(geo: DataFrame) -> DataFrame:
+    """``route_points`` with each vertex's feature ``properties``."""
     f = geo.select(F.posexplode("features").alias("feature", "f"))
-    return (f.select("feature", F.col("f.geometry.coordinates").alias("c"))
-            .select("feature", F.posexplode("c").alias("point", "xy"))
-            .select("feature", "point", F.col("xy")[1].alias("latitude"), F.col("xy")[0].alias("longitude")))
+    return (f.select("feature", F.col("f.properties").alias("properties"), F.col("f.geometry.coordinates").alias("c"))
+            .select("feature", "properties", F.posexplode("c").alias("point", "xy"))
+            .select("feature", "properties", "point", F.col("xy")[1].alias("latitude"), F.col("xy")[0].alias("longitude")))
 
 
 def routes_from_positions(positions: DataFrame, chunk: int = 1000) -> DataFrame:

@@ -82,6 +82,7 @@ def gate_into_log(log_path: str, n_riders: int = N_RIDERS, seed_log: DataFrame |
     """
     from pyspark.sql import functions as F
     from orderflow.operators.lifecycle import admit_responses
+    from orderflow.session import list_folder
     from orderflow.streaming.sinks import append_batch
 
     cols = ["order_id", "rider_id", "status"]
@@ -89,11 +90,10 @@ def gate_into_log(log_path: str, n_riders: int = N_RIDERS, seed_log: DataFrame |
     def write(batch: DataFrame, epoch_id: int, out: str) -> None:
         spark = batch.sparkSession
         prior = seed_log.select(*cols) if seed_log is not None else None
-        try:
-            done = spark.read.parquet(log_path).filter(F.col("epoch_id") < epoch_id).select(*cols)
+        if list_folder(spark, log_path):  # else this is the first epoch; a failed read is raised
+            done = (spark.read.schema("order_id long, rider_id int, status string, epoch_id long").parquet(log_path)
+                    .filter(F.col("epoch_id") < epoch_id).select(*cols))
             prior = done if prior is None else prior.unionByName(done)
-        except Exception:  # noqa: BLE001 - first epoch: no log yet
-            pass
         if prior is None:
             prior = spark.createDataFrame([], "order_id long, rider_id int, status string")
         append_batch(admit_responses(batch, n_riders, log=prior), epoch_id, log_path)
