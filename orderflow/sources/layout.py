@@ -18,10 +18,15 @@ from pyspark.sql import functions as F
 
 
 def write_event_log(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Append status events partitioned by day, rows clustered by order inside a file."""
+    """Append status events partitioned by day, rows clustered by order inside a file.
+
+    Tasks get ranges of (day, hash of the order): a task holds a few
+    neighbouring days, or a part of a large one, so there are at most as many
+    files as days and tasks together.
+    """
     (events.withColumn("event_date", F.to_date("event_timestamp"))
-     .repartition("event_date", "order_id")
-     .sortWithinPartitions("order_id", "event_timestamp")
+     .repartitionByRange("event_date", F.xxhash64("order_id"))
+     .sortWithinPartitions("event_date", "order_id", "event_timestamp")
      .write.mode(mode).partitionBy("event_date").parquet(path))
 
 

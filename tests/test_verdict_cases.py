@@ -35,6 +35,8 @@ def test_history_reads_partitions(spark):
     path = scratch_path(spark, "log")
     write_event_log(f.orders_status, path)
     log = spark.read.parquet(path)
+    days = log.select("event_date").distinct().count()
+    assert len(log.inputFiles()) <= days + int(spark.conf.get("spark.sql.shuffle.partitions"))
     want = history.year_bounds(f.orders_status).first()
     assert history.year_bounds(log).first() == want
     plan = history.year_bounds(log)._jdf.queryExecution().executedPlan().toString()
