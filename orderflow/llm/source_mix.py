@@ -87,7 +87,8 @@ def with_copies(docs: DataFrame, *, seed: int = 0, weights: Sequence[float] = (3
     rows = (docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), name.alias("name"),
                         n_words(F.col(text_col)).alias("size"), F.floor(chance * SLOTS).cast("int").alias("slot"),
                         F.md5(text_col).alias("text_md5"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-            .withColumn("class", F.when(F.col("size") > 0, F.floor(F.log("size") * 8)).otherwise(-1)))
+            # never null, or the joins on it would filter by it and count the words once more; log of 0 is null
+            .withColumn("class", F.coalesce(F.floor(F.log("size") * 8), F.lit(-1))))
     counts = materialise(rows.groupBy("name", "source", "class", "slot")
                          .agg(F.count("*").alias("n"), F.sum("size").alias("words")), "mix-counts")
     deal = materialise(counts.groupBy("name", "class").agg(F.sum("n").alias("n"))
