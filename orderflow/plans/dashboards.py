@@ -7,141 +7,80 @@ from pyspark.sql import functions as F
 from orderflow.functions.stats import share_of_total
 from orderflow.operators import daily, history, menu, riders
 from orderflow.operators import ingest as menu_ingest
+from orderflow.plans import closed_form
 from orderflow.plans.catalog import AS_OF, N, RIDER, RIDER_NAME, YEAR, fx, register
 
 DAY = "DATE '1998-06-15'"
 
-# Every daily oracle reads the day's rows through this CTE.
-_DAY_ROWS = f"day_rows AS (SELECT * FROM f_orders_status WHERE CAST(event_timestamp AS DATE) = {DAY})"
-
-_ACTIVE = """
-SELECT count(*) AS active_orders
-FROM (SELECT order_id
-      FROM {src}
-      GROUP BY order_id
-      HAVING count(DISTINCT rider_id) FILTER (WHERE status = 'accepted') = 0
-         AND count(DISTINCT rider_id) FILTER (WHERE status = 'denied') < 3) open_orders"""
-
-
-@register("daily_kpis", oracle=f"""
-WITH {_DAY_ROWS},
-last_pending AS (SELECT max(event_timestamp) AS ts FROM f_orders_status WHERE status = 'pending')
-SELECT
-  (SELECT count(*) FROM day_rows WHERE status = 'pending') AS total_orders,
-  ({_ACTIVE.format(src="day_rows")}) AS active_orders,
-  (SELECT CAST(sum(o.total_amount) AS DECIMAL(20,2))
-     FROM day_rows d LEFT JOIN f_orders o ON o.order_id = d.order_id WHERE d.status = 'pending') AS revenue,
-  (SELECT count(DISTINCT user_id) FROM f_users WHERE registration_date = {DAY}) AS new_customers,
-  (SELECT ts FROM last_pending) AS last_order_time,
-  coalesce((SELECT strftime(ts, '%H:%M') FROM last_pending), 'No orders yet') AS last_order_label
-""", headline=True)
+@register("daily_kpis", oracle=closed_form.DAILY_KPIS, headline=True)
 def q_daily_kpis(spark, sf):
     f = fx(spark, sf)
     return daily.daily_kpis(f.orders_status, f.orders, f.users, AS_OF, N)
 
 
-@register("active_orders_day", oracle=f"WITH {_DAY_ROWS}" + _ACTIVE.format(src="day_rows"))
+@register("active_orders_day", oracle=closed_form.ACTIVE_TODAY)
 def q_active_orders_day(spark, sf):
     return daily.active_orders(fx(spark, sf).orders_status, N, AS_OF)
 
 
-@register("active_orders_all", oracle=_ACTIVE.format(src="f_orders_status"), headline=True)
+@register("active_orders_all", oracle=closed_form.ACTIVE_ALL, headline=True)
 def q_active_orders_all(spark, sf):
     return daily.active_orders(fx(spark, sf).orders_status, N, None)
 
 
-@register("daily_status", oracle=f"""
-WITH {_DAY_ROWS},
-counts AS (
-  SELECT count(*) FILTER (WHERE status = 'pending') AS total_orders,
-         ({_ACTIVE.format(src="day_rows")}) AS pending_orders,
-         count(*) FILTER (WHERE status = 'accepted') AS accepted_orders,
-         (SELECT count(*) FROM (SELECT order_id FROM day_rows WHERE status = 'denied'
-                                GROUP BY order_id HAVING count(*) = 3) q) AS denied_orders,
-         count(*) FILTER (WHERE status = 'completed') AS completed_orders
-  FROM day_rows)
-SELECT *, CASE WHEN total_orders <> 0
-               THEN round_even(CAST(completed_orders AS DOUBLE) / total_orders * 100, 2)
-               ELSE 0.0 END AS success_rate
-FROM counts
-""", headline=True)
+@register("daily_status", oracle=closed_form.DAILY_STATUS, headline=True)
 def q_daily_status(spark, sf):
     return daily.daily_status(fx(spark, sf).orders_status, AS_OF, N)
 
 
-@register("denied_orders", oracle=f"""
-WITH {_DAY_ROWS}
-SELECT order_id, count(*) AS n_denied FROM day_rows WHERE status = 'denied'
-GROUP BY order_id HAVING count(*) = 3
-""")
+@register("denied_orders", oracle=closed_form.DENIED_ORDERS)
 def q_denied_orders(spark, sf):
     return daily.denied_orders(fx(spark, sf).orders_status, AS_OF, N)
 
 
-def _mix_sql(key: str, drink: bool, pending: bool, revenue: bool) -> str:
-    kind = "= 'Drink'" if drink else "<> 'Drink'"
-    only_pending = " AND status = 'pending'" if pending else ""
-    rev = ", CAST(sum(line.subtotal) AS DECIMAL(20,2)) AS total_revenue" if revenue else ""
-    return f"""
-WITH ev AS (SELECT order_id FROM f_orders_status
-            WHERE CAST(event_timestamp AS DATE) = {DAY}{only_pending})
-SELECT menu.{key}, CAST(sum(line.quantity) AS BIGINT) AS quantity{rev}
-FROM f_order_details line
-JOIN ev ON ev.order_id = line.order_id
-JOIN f_menu_items menu ON menu.item_id = line.item_id
-WHERE menu.category {kind}
-GROUP BY menu.{key}"""
-
-
-@register("food_mix", oracle=_mix_sql("category", False, True, False), headline=True)
+@register("food_mix", oracle=closed_form.mix("category", False, True, False), headline=True)
 def q_food_mix(spark, sf):
     f = fx(spark, sf)
     return daily.food_mix(f.orders_status, f.order_details, f.menu_items, AS_OF)
 
 
-@register("drink_mix", oracle=_mix_sql("name", True, True, False))
+@register("drink_mix", oracle=closed_form.mix("name", True, True, False))
 def q_drink_mix(spark, sf):
     f = fx(spark, sf)
     return daily.drink_mix(f.orders_status, f.order_details, f.menu_items, AS_OF)
 
 
-@register("food_share", oracle=f"""
-WITH t AS ({_mix_sql("category", False, True, False)})
-SELECT category, quantity, round(CAST(quantity AS DOUBLE) / (SELECT SUM(quantity) FROM t), 6) AS share FROM t
-""")
+@register("food_share", oracle=closed_form.share("category", closed_form.mix("category", False, True, False)))
 def q_food_share(spark, sf):
     f = fx(spark, sf)
     return daily.with_share(daily.food_mix(f.orders_status, f.order_details, f.menu_items, AS_OF))
 
 
-@register("drink_share", oracle=f"""
-WITH t AS ({_mix_sql("name", True, True, False)})
-SELECT name, quantity, round(CAST(quantity AS DOUBLE) / (SELECT SUM(quantity) FROM t), 6) AS share FROM t
-""")
+@register("drink_share", oracle=closed_form.share("name", closed_form.mix("name", True, True, False)))
 def q_drink_share(spark, sf):
     f = fx(spark, sf)
     return daily.with_share(daily.drink_mix(f.orders_status, f.order_details, f.menu_items, AS_OF))
 
 
-@register("food_revenue_literal", oracle=_mix_sql("category", False, False, True), headline=True)
+@register("food_revenue_literal", oracle=closed_form.mix("category", False, False, True), headline=True)
 def q_food_revenue_literal(spark, sf):
     f = fx(spark, sf)
     return daily.food_revenue(f.orders_status, f.order_details, f.menu_items, AS_OF, status=None)
 
 
-@register("drink_revenue_literal", oracle=_mix_sql("name", True, False, True))
+@register("drink_revenue_literal", oracle=closed_form.mix("name", True, False, True))
 def q_drink_revenue_literal(spark, sf):
     f = fx(spark, sf)
     return daily.drink_revenue(f.orders_status, f.order_details, f.menu_items, AS_OF, status=None)
 
 
-@register("food_revenue", oracle=_mix_sql("category", False, True, True))
+@register("food_revenue", oracle=closed_form.mix("category", False, True, True))
 def q_food_revenue(spark, sf):
     f = fx(spark, sf)
     return daily.food_revenue(f.orders_status, f.order_details, f.menu_items, AS_OF, status="pending")
 
 
-@register("drink_revenue", oracle=_mix_sql("name", True, True, True))
+@register("drink_revenue", oracle=closed_form.mix("name", True, True, True))
 def q_drink_revenue(spark, sf):
     f = fx(spark, sf)
     return daily.drink_revenue(f.orders_status, f.order_details, f.menu_items, AS_OF, status="pending")
@@ -186,70 +125,34 @@ def q_avg_complete(spark, sf):
 
 
 # -- history (F) -------------------------------------------------------------
-# Pending rows of the selected year.
-_PENDING_YEAR = "(SELECT * FROM f_orders_status WHERE status = 'pending' AND year(event_timestamp) = 1998)"
-
-
-@register("yearly_orders", oracle=f"""
-SELECT CAST(month(event_timestamp) AS INTEGER) AS month, count(*) AS num_orders
-FROM {_PENDING_YEAR} p
-GROUP BY 1
-""", headline=True)
+@register("yearly_orders", oracle=closed_form.YEARLY_ORDERS, headline=True)
 def q_yearly_orders(spark, sf):
     return history.yearly_orders(fx(spark, sf).orders_status, YEAR)
 
 
-_REVENUE_SQL = f"""
-SELECT CAST(month(p.event_timestamp) AS INTEGER) AS month,
-       CAST(sum(o.total_amount) AS DECIMAL(20,2)) AS revenue
-FROM {_PENDING_YEAR} p LEFT JOIN f_orders o ON o.order_id = p.order_id
-GROUP BY 1"""
-
-
-@register("yearly_revenue", oracle=_REVENUE_SQL)
+@register("yearly_revenue", oracle=closed_form.YEARLY_REVENUE)
 def q_yearly_revenue(spark, sf):
     f = fx(spark, sf)
     return history.yearly_revenue(f.orders_status, f.orders, YEAR)
 
 
-@register("region_orders", oracle=f"""
-SELECT CAST(month(p.event_timestamp) AS INTEGER) AS month, o.delivery_city, count(*) AS num_orders
-FROM {_PENDING_YEAR} p LEFT JOIN f_orders o ON o.order_id = p.order_id
-GROUP BY 1, 2
-""")
+@register("region_orders", oracle=closed_form.REGION_ORDERS)
 def q_region_orders(spark, sf):
     f = fx(spark, sf)
     return history.region_orders(f.orders_status, f.orders, YEAR)
 
 
-@register("year_bounds", oracle="""
-SELECT CAST(year(min(event_timestamp)) AS INTEGER) AS min_year,
-       CAST(year(max(event_timestamp)) AS INTEGER) AS max_year
-FROM f_orders_status WHERE status = 'pending'
-""")
+@register("year_bounds", oracle=closed_form.YEAR_BOUNDS)
 def q_year_bounds(spark, sf):
     return history.year_bounds(fx(spark, sf).orders_status)
 
 
-@register("year_list", oracle="""
-WITH span AS (SELECT year(min(event_timestamp)) AS lo, year(max(event_timestamp)) AS hi
-              FROM f_orders_status WHERE status = 'pending')
-SELECT CAST(y AS INTEGER) AS year FROM span, range(span.lo, span.hi + 1) t(y)
-""")
+@register("year_list", oracle=closed_form.YEAR_LIST)
 def q_year_list(spark, sf):
     return history.year_list(fx(spark, sf).orders_status)
 
 
-@register("yearly_summary", oracle=f"""
-WITH o AS (SELECT CAST(month(event_timestamp) AS INTEGER) AS month, CAST(count(*) AS DOUBLE) AS num_orders
-           FROM {_PENDING_YEAR} p GROUP BY 1),
-     r AS (SELECT month, CAST(revenue AS DOUBLE) AS revenue FROM ({_REVENUE_SQL}) x),
-     b AS (SELECT coalesce(o.month, r.month) AS month, o.num_orders, r.revenue FROM o FULL JOIN r ON o.month = r.month)
-SELECT month, round(num_orders, 6) AS num_orders, round(revenue, 6) AS revenue,
-       round((SELECT max(num_orders) FROM b) * 1.1, 6) AS orders_max,
-       round((SELECT max(revenue) FROM b) * 1.1, 6) AS revenues_max
-FROM b
-""")
+@register("yearly_summary", oracle=closed_form.YEARLY_SUMMARY)
 def q_yearly_summary(spark, sf):
     f = fx(spark, sf)
     return history.yearly_summary(f.orders_status, f.orders, YEAR)
@@ -272,45 +175,19 @@ def q_rider_by_name(spark, sf):
     return riders.rider_id_by_name(fx(spark, sf).roster, RIDER_NAME)
 
 
-@register("rider_status_matrix", oracle=f"""
-WITH day_events AS (
-  SELECT rider_id, status, order_id FROM f_orders_status WHERE CAST(event_timestamp AS DATE) = {DAY}),
-grid AS (
-  SELECT r.rider_id, r.name, v.status
-  FROM f_roster r, (VALUES ('accepted'), ('denied'), ('completed')) v(status))
-SELECT g.name, g.status, count(e.order_id) AS count_orders
-FROM grid g LEFT JOIN day_events e ON e.rider_id = g.rider_id AND e.status = g.status
-GROUP BY g.name, g.status
-""", headline=True)
+@register("rider_status_matrix", oracle=closed_form.RIDER_STATUS_MATRIX, headline=True)
 def q_rider_status_matrix(spark, sf):
     f = fx(spark, sf)
     return riders.rider_status_matrix(f.orders_status, f.roster, AS_OF)
 
 
-_RIDER_DAILY_SQL = f"""
-WITH days AS (
-  SELECT DATE '1998-06-01' + CAST(k AS INTEGER) AS day
-  FROM range(date_diff('day', DATE '1998-06-01', {DAY}) + 1) t(k)),
-mine AS (SELECT CAST(event_timestamp AS DATE) AS day, status FROM f_orders_status WHERE rider_id = {RIDER})
-SELECT d.day,
-       count(*) FILTER (WHERE m.status = 'completed') AS completed_order_count,
-       count(*) FILTER (WHERE m.status = 'denied') AS denied_order_count
-FROM days d LEFT JOIN mine m ON m.day = d.day
-GROUP BY d.day"""
-
-
-@register("rider_daily", oracle=_RIDER_DAILY_SQL, headline=True)
+@register("rider_daily", oracle=closed_form.rider_daily(RIDER), headline=True)
 def q_rider_daily(spark, sf):
     start, end = riders.month_to_date(AS_OF)  # G6: first of the month .. reporting day
     return riders.rider_daily(fx(spark, sf).orders_status, RIDER, start, end)
 
 
-@register("rider_daily_long", oracle=f"""
-WITH d AS ({_RIDER_DAILY_SQL})
-SELECT day, 'completed_order_count' AS variable, completed_order_count AS value FROM d
-UNION ALL
-SELECT day, 'denied_order_count', denied_order_count FROM d
-""")
+@register("rider_daily_long", oracle=closed_form.rider_daily_long(RIDER))
 def q_rider_daily_long(spark, sf):
     start, end = riders.month_to_date(AS_OF)
     return riders.rider_daily_long(riders.rider_daily(fx(spark, sf).orders_status, RIDER, start, end))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orderflow.operators import ingest, lifecycle
+from orderflow.plans import closed_form
 from orderflow.plans.catalog import N, RIDER, fx, register
 
 # -- ingest (B) ------------------------------------------------------------------
@@ -170,14 +171,7 @@ def q_decisions(spark, sf):
     return lifecycle.normalise_decisions(fx(spark, sf).decisions)
 
 
-@register("gate_state", oracle="""
-SELECT order_id, accepted_count, denied_count,
-       CASE WHEN accepted_count = 1 OR denied_count = 3 THEN 'not_pending' ELSE 'pending' END AS state
-FROM (SELECT order_id,
-             count(DISTINCT rider_id) FILTER (WHERE status = 'accepted') AS accepted_count,
-             count(DISTINCT rider_id) FILTER (WHERE status = 'denied') AS denied_count
-      FROM f_orders_status GROUP BY order_id) per_order
-""")
+@register("gate_state", oracle=closed_form.GATE_STATE)
 def q_gate_state(spark, sf):
     return lifecycle.gate_state(fx(spark, sf).orders_status, N)
 
