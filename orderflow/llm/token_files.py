@@ -46,7 +46,7 @@ NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, stem string, n_docs long, n_tokens long"
 
 #: Words and pieces in the younger of two generations that a Python worker keeps (speed only).
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 250_000
 
 # The one normaliser and pre-tokenizer for which texts may be encoded word by word.
 # They must equal the tokenizer file's.
@@ -90,7 +90,7 @@ class Encoder:
     piece is encoded once and looked up afterwards, a piece of plain
     characters by the tokenizer's model directly; any other word, any text
     with separator controls, and every text under another kind of file is
-    encoded whole.
+    encoded whole.  Letters are kept once, as the word they are in lower case.
     """
 
     def __init__(self, path: str):
@@ -127,12 +127,13 @@ class Encoder:
         plain = word.isascii() or _LATIN.fullmatch(word)
         low = word.lower()
         if plain and low.isalpha():
-            return self.pieces[low]
+            return self._piece(word) if word == low else self.words[low]
         if plain and low[-1] in ",-." and low[:-1].isalpha():
-            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+            return self.words[low[:-1]] + self.pieces[low[-1]]
         if not plain or not word.isprintable() or self.special.search(word):
             return self._whole(word)
-        return b"".join([self.pieces[p] for p in (_ASCII_PIECES if word.isascii() else _PIECES).findall(low)])
+        split = _ASCII_PIECES if word.isascii() else _PIECES
+        return b"".join([self.words[p] if p.isalpha() else self.pieces[p] for p in split.findall(low)])
 
     def encode(self, text: str) -> bytes:
         if not self.by_word or _SEPARATORS.search(text):
