@@ -1,9 +1,9 @@
 """Query registry used by ``__spark_entry__`` and ``bench.py``.
 
 A query is ``fn(spark, sf_dir) -> DataFrame``.  Its oracle, when the result
-is expressible in plain SQL, is written independently in the literal style
-of the original dashboards (DuckDB dialect) and gets the fixture views
-prepended as CTEs.
+is expressible in plain SQL, is written independently of the plan (DuckDB
+dialect; several in closed form, see ``closed_form``) and gets the fixture views
+it refers to prepended as CTEs.
 """
 
 from __future__ import annotations

@@ -59,25 +59,30 @@ _PARTITION_KEYS = {"orders_status": "order_id", "orders": "order_id", "order_det
                    "users": "user_id"}
 
 
+def _key_bounds(spark: SparkSession, url: str, table: str, key: str, properties: dict) -> tuple[int, int] | None:
+    """Least and greatest key, one row computed by the database; ``None`` for a table without keys."""
+    row = read_jdbc_table(spark, url, f"(SELECT min({key}) AS lo, max({key}) AS hi FROM {table}) bounds",
+                          properties=properties).first()
+    return None if row is None or row["lo"] is None else (row["lo"], row["hi"])
+
+
 def read_order_tables_jdbc(spark: SparkSession, url: str, properties: dict, *,
                            schema: str = "food_ordering", key_bounds: dict | None = None,
                            num_partitions: int = 64) -> dict[str, DataFrame]:
     """Open the original relational tables over JDBC as lazy DataFrames.
 
-    ``key_bounds`` maps a table to ``(lower, upper)`` of its partition key; with
-    bounds, the read is split into ``num_partitions`` range queries, otherwise
-    it is a single query (fine for the small dimensions).
+    The four large tables are read in ``num_partitions`` ranges of their key.
+    ``key_bounds`` maps a table to ``(lower, upper)``; for a table it does not
+    name the database is asked for them. Bounds only place the ranges: rows
+    outside them, or without a key, are read all the same.
     """
     out = {}
     for name, cols in ORDER_TABLES.items():
-        key = _PARTITION_KEYS.get(name)
-        bounds = (key_bounds or {}).get(name)
-        df = read_jdbc_table(spark, url, f"{schema}.{name}", properties=properties,
-                             partition_column=key if bounds else None,
-                             lower_bound=bounds[0] if bounds else None,
-                             upper_bound=bounds[1] if bounds else None,
-                             num_partitions=num_partitions if bounds else None)
-        out[name] = df.select(*cols)
+        table, key = f"{schema}.{name}", _PARTITION_KEYS.get(name)
+        bounds = key and ((key_bounds or {}).get(name) or _key_bounds(spark, url, table, key, properties))
+        ranges = {"partition_column": key, "lower_bound": bounds[0], "upper_bound": bounds[1],
+                  "num_partitions": num_partitions} if bounds else {}
+        out[name] = read_jdbc_table(spark, url, table, properties=properties, **ranges).select(*cols)
     return out
 
 

@@ -6,6 +6,7 @@ from decimal import Decimal
 from orderflow.operators import daily, history, legacy
 from orderflow.plans import catalog
 from orderflow.session import scratch_path
+from orderflow.sources import tables
 from orderflow.sources.layout import write_event_log
 from tests.conftest import SF_SMALL
 from tests.helpers import events_df
@@ -43,3 +44,24 @@ def test_history_reads_partitions(spark):
     assert "event_timestamp" not in plan
     a = daily.daily_kpis(f.orders_status, f.orders, f.users, catalog.AS_OF).first()
     assert daily.daily_kpis(log, f.orders, f.users, catalog.AS_OF).first() == a
+
+
+def test_jdbc_facts_are_read_in_ranges(spark, monkeypatch):
+    """Against a stand-in for the reader: bounds given are used, others are asked for, empty tables get none."""
+    asked = {}
+
+    def reader(_spark, _url, table, *, properties=None, **ranges):
+        if "bounds" in table:
+            return spark.sql("SELECT CAST(NULL AS INT) AS lo, CAST(NULL AS INT) AS hi" if ".users" in table
+                             else "SELECT 3 AS lo, 900 AS hi")
+        asked[table.split(".")[1]] = ranges
+        cols = ", ".join(f"1 AS {c}" for c in tables.ORDER_TABLES[table.split(".")[1]])
+        return spark.sql(f"SELECT {cols}")
+
+    monkeypatch.setattr(tables, "read_jdbc_table", reader)
+    found = tables.read_order_tables_jdbc(spark, "url", {}, key_bounds={"orders": (1, 50)}, num_partitions=8)
+    assert set(found) == set(tables.ORDER_TABLES) == set(asked)
+    ranged = {t: (r["partition_column"], r["lower_bound"], r["upper_bound"], r["num_partitions"])
+              for t, r in asked.items() if r}
+    assert ranged == {"orders": ("order_id", 1, 50, 8), "orders_status": ("order_id", 3, 900, 8),
+                      "order_details": ("order_id", 3, 900, 8)}
