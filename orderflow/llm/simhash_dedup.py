@@ -21,8 +21,10 @@ dropped and no task holds more than two chunks.
 Defined cases: a text without words (or null) has fingerprint zero and links
 like any other; rows with a null doc_id get the component of the documents
 they link to, null if there is none, and always stay in
-``keep_one_per_component``; of repeated rows with one doc_id one stays; an
-empty table gives an empty result; extra columns are kept.
+``keep_one_per_component``; a doc_id with several texts belongs to each of
+their components and stays wherever it is the smallest; rows equal in doc_id
+and text are one; an empty table gives an empty result; extra columns are
+kept.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ SHINGLE_WORDS, RADIUS = 4, 4
 MAX_BUCKET = 4096
 #: Pairs whose bit planes a task holds at once, shingles whose bits it unpacks at once, pairs to a block.
 PAIRS_AT_ONCE, SHINGLES_AT_ONCE, BLOCK_PAIRS = 1 << 18, 1 << 16, 1 << 12
-#: Rows of the hot-bucket table, and ids (8 bytes) of the documents that go, up to which they are broadcast.
+#: Rows of the hot-bucket table, and (id, text hash) pairs (16 bytes) of the rows that go, up to which they are broadcast.
 SMALL_ROWS, MANY_ROWS = 100_000, 1_000_000
 
 _QUARTERS = [(h, np.uint64((2 ** 64 - 1) // (2 ** h + 1))) for h in (32, 16, 8, 4, 2, 1)]
@@ -73,17 +75,20 @@ def simhash(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, *, shingle_words: int = SHINGLE_WORDS, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, fp as a signed long."""
+                 text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row, fp as a signed long; if ``keyed`` also text_key, XXH64 of the text."""
+    more = ["text_key"] if keyed else []
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept_by_worker("nothing", lambda: None)  # make room
         for pdf in batches:
             fps = [simhash(shingle_hashes(t, shingle_words)) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array(fps, np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "fp": np.array(fps, np.int64),
+                                **{c: pdf[c] for c in more}})
 
-    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-            .mapInPandas(run, "doc_id long, fp long"))
+    return (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"),
+                        *[F.xxhash64(text_col).alias(c) for c in more])
+            .mapInPandas(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more))))
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -230,26 +235,47 @@ def links(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) ->
             .mapInPandas(_compare(radius), "u long, v long"))
 
 
-def near_components(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(doc_id, fp, component_id) of the rows of ``fps`` (doc_id, fp)."""
+def _labelled(fps: DataFrame, radius: int, max_bucket: int) -> DataFrame:
+    """The rows of ``fps`` (doc_id, fp, ...) with their component's label (its least fp) and component_id."""
     fps = materialise(fps, "fingerprints")
     labels = components(links(fps, radius, max_bucket))
     firsts = (fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
               .join(labels, F.col("fp") == F.col("node"), "left")
               .select("fp", "first", F.coalesce("label", "fp").alias("label")))
     least = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = firsts.join(least, "label").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = firsts.join(least, "label").select("fp", "label", "component_id")
+    return fps.join(of_fp, "fp").select(*fps.columns, "label", "component_id")
+
+
+def near_components(fps: DataFrame, radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id) of the rows of ``fps`` (doc_id, fp)."""
+    return _labelled(fps, radius, max_bucket).select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_component(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                            shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without all but the smallest doc_id of each component."""
-    fps = fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col)
-    found = materialise(near_components(fps, radius), "components")
-    others = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__other")).distinct(),
+    """``docs`` without all but one row of each component: of its smallest doc_id, the smallest (fp, text hash)."""
+    fps = fingerprints(docs, shingle_words=shingle_words, id_col=id_col, text_col=text_col, keyed=True)
+    found = materialise(_labelled(fps, radius, MAX_BUCKET), "components")
+    # rows are told apart by id and text hash: one id's texts may belong to several components
+    least = found.where("doc_id = component_id")
+    repeats = materialise(least.groupBy("label").agg(F.min(F.struct("fp", "text_key")).alias("first"),
+                                                     F.count("*").alias("n")).where("n > 1")
+                          .select("label", "first"), "repeats")
+    again = (least.join(broadcast_if_small(repeats, SMALL_ROWS), "label")
+             .withColumn("stays", F.struct("fp", "text_key") == F.col("first")))
+    others = materialise(found.where("doc_id <> component_id").select("doc_id", "text_key")
+                         .union(again.where("NOT stays").select("doc_id", "text_key"))
+                         .distinct().select(F.col("doc_id").alias("__other"), F.col("text_key").alias("__other_key")),
                          "others")
-    kept = docs.join(broadcast_if_small(others, MANY_ROWS), F.col(id_col) == F.col("__other"), "left_anti")
-    if found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").isEmpty():
+    is_in = lambda rows: ((F.col(id_col) == rows["__other"])
+                          & (F.xxhash64(text_col) == rows["__other_key"]))
+    others = broadcast_if_small(others, MANY_ROWS)
+    kept = docs.join(others, is_in(others), "left_anti")
+    if repeats.isEmpty():
         return kept
-    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(kept.where(F.col(id_col).isNull()))
+    same = materialise(again.where("stays").select(F.col("doc_id").alias("__other"),
+                                                   F.col("text_key").alias("__other_key")).distinct(), "same")
+    same = broadcast_if_small(same, MANY_ROWS)
+    return (kept.join(same, is_in(same), "left_anti")
+            .union(kept.join(same, is_in(same), "left_semi").dropDuplicates([id_col, text_col])))
