@@ -26,9 +26,11 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Keep documents whose language is recognised: not ``und`` and with a sufficient score."""
     configure(spark)
     model = language_crf.fit(docs.where(language_crf.learnable_rows("doc_id")))
-    judged = language_crf.predict(docs, model)
+    clash = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*[F.col(c).alias(n) for c, n in clash.items()])
+    judged = language_crf.predict(named, model, text_col=clash["text"])
     return (judged.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE))
-            .select(*docs.columns))
+            .select(*[F.col(n).alias(c) for c, n in clash.items()]))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
