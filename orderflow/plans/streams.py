@@ -10,10 +10,10 @@ from orderflow import schemas
 from orderflow.operators import legacy, lifecycle, positions
 from orderflow.plans import dashboards, feeds, orderlog  # noqa: F401  (oracles reused below)
 from orderflow.plans.catalog import N, ORACLE_RAW, fx, register
-from orderflow.session import scratch_path
+from orderflow.session import list_folder, scratch_path
 from orderflow.sources import messages
 from orderflow.sources.fixtures import positions_from
-from orderflow.streaming import events_stream, gate_stream, run_available_now, table_stream
+from orderflow.streaming import gate_stream, run_available_now, table_stream
 from orderflow.streaming.gate import gate_into_log
 from orderflow.streaming.sinks import append_batch
 
@@ -56,6 +56,29 @@ def _event_stream(spark, f):
     return table_stream(spark, path, schemas.EVENTS, ts_cols=("ts",), max_files=_per_trigger(spark))
 
 
+def _replay_in_time_order(spark, f, name: str, run) -> DataFrame:
+    """Replay the event table in MICRO_BATCHES ranges of ``ts``, earliest first, through one checkpointed query.
+
+    ``run(stream, out, checkpoint)`` is called once per range, with one sink and checkpoint, and processes it as one
+    micro-batch: the state carries over, and no order of files or their times is relied on. Equal times share a
+    range; rows without a time come last.
+    """
+    path, out = scratch_path(spark, "event-feed"), scratch_path(spark, name)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    shares = [k / MICRO_BATCHES for k in range(1, MICRO_BATCHES)]
+    events = f.table("events")
+    cuts = events.agg(F.percentile_approx(micros, shares).alias("cuts")).first().cuts or []
+    part = sum((F.when(micros <= c, 0).otherwise(1) for c in cuts), F.lit(0))
+    (events.withColumn("range", part).repartition(_files(spark))
+     .write.partitionBy("range").parquet(path))
+    ranges = sorted(n for n in list_folder(spark, path) if n.startswith("range="))
+    for k in range(1, max(2, len(ranges) + 1)):  # an empty table has no range
+        # by a pattern of the ranges so far: the source knows which files it has read
+        feed = f"{path}/{{{','.join(ranges[:k])}}}" if ranges else path
+        result = run(table_stream(spark, feed, schemas.EVENTS, ts_cols=("ts",)), out, out + "-checkpoint")
+    return result
+
+
 def slot_counts(events: DataFrame, minutes: int = 15, watermark: str | None = None) -> DataFrame:
     """Events per tumbling event-time window (streaming form of D10)."""
     if watermark:
@@ -215,15 +238,16 @@ def q_stream_match(spark, sf):
 @register("gate_stream", oracle=ORACLE_RAW["gate_batch"], headline=True)
 def q_gate_stream(spark, sf):
     """C6 streaming: the decision gate with per-order state."""
-    resp = fx(spark, sf).responses_of(events_stream(spark, sf, max_files=1))
-    out = run_available_now(gate_stream(resp, N), "stream-gate")
+    f = fx(spark, sf)
+    out = _replay_in_time_order(spark, f, "stream-gate", lambda s, out, checkpoint: run_available_now(
+        gate_stream(f.responses_of(s), N), "stream-gate", out=out, checkpoint=checkpoint))
     return _ntz(out, "event_timestamp")
 
 
 @register("gate_stream_table", oracle=ORACLE_RAW["gate_batch"])
 def q_gate_stream_table(spark, sf):
     """C6 streaming with the admitted-response log as the gate state (no per-order Python)."""
-    resp = fx(spark, sf).responses_of(events_stream(spark, sf, max_files=1))
-    log_path = scratch_path(spark, "gate-log")
-    out = run_available_now(resp, "gate-table", out=log_path, foreach_batch=gate_into_log(log_path, N))
+    f = fx(spark, sf)
+    out = _replay_in_time_order(spark, f, "gate-log", lambda s, out, checkpoint: run_available_now(
+        f.responses_of(s), "gate-table", out=out, checkpoint=checkpoint, foreach_batch=gate_into_log(out, N)))
     return _ntz(out.drop("epoch_id"), "event_timestamp")

@@ -10,7 +10,8 @@ Exactness: the result equals the batch gate when micro-batches arrive in
 event-time order (e.g. a time-partitioned log replayed in order).  Responses
 of one order that arrive in a later batch but carry an earlier time than an
 already-processed response are decided against the state as it is then.
-Closed orders keep a tombstone so late responses stay rejected.
+Closed orders keep a tombstone so late responses stay rejected.  A hot
+order's responses are read in portions, and only those still admitted are held.
 """
 
 from __future__ import annotations
@@ -55,10 +56,12 @@ def gate_stream(responses: DataFrame, n_riders: int = N_RIDERS) -> DataFrame:
             deniers = set(deniers or [])
         else:
             closed, deniers = False, set()
-        parts = [p for p in pdfs]
-        pdf = pd.concat(parts) if parts else pd.DataFrame(columns=_COLS)
-        admitted, closed, deniers = decide(pdf[_COLS], bool(closed), deniers, n_riders)
-        state.update((closed, sorted(deniers)))
+        admitted, before = pd.DataFrame(columns=_COLS), (bool(closed), deniers)
+        for pdf in pdfs:
+            # further responses can only bring the cut-off forward, so what isn't admitted now never is
+            rows = pd.concat([admitted, pdf[_COLS]]) if len(admitted) else pdf[_COLS]
+            admitted, closed, deniers = decide(rows, *before, n_riders)
+        state.update((bool(closed), sorted(deniers)))
         if not admitted.empty:
             yield admitted
 

@@ -16,11 +16,12 @@ from orderflow.session import list_folder, scratch_path
 
 
 def events_stream(spark: SparkSession, base: str, max_files: int | None = None) -> DataFrame:
-    """The ``events`` table as a file stream, with ``ts`` as a watermarkable timestamp."""
-    r = spark.readStream.schema(schemas.EVENTS).option("pathGlobFilter", "events.parquet")
+    """The ``events`` table, one file or a folder of files, as a file stream, with ``ts`` as a watermarkable timestamp."""
+    r = spark.readStream.schema(schemas.EVENTS)
     if max_files:
         r = r.option("maxFilesPerTrigger", str(max_files))
-    return r.parquet(base).withColumn("ts", F.col("ts").cast("timestamp"))
+    # a stream takes a single file by a pattern only
+    return r.parquet(f"{base}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType, ts_cols: tuple[str, ...] = (),
