@@ -22,6 +22,11 @@ def ascii_lower(c: Column) -> Column:
             .otherwise(F.translate(c, UPPER, LOWER)))
 
 
+def size_or_zero(c: Column | str) -> Column:
+    """Items of an array, 0 for null; outside ANSI mode ``size`` gives -1 for null."""
+    return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

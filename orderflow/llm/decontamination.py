@@ -35,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import ascii_lower, broadcast_if_small, materialise
+from orderflow.llm.common import ascii_lower, broadcast_if_small, materialise, size_or_zero
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, RAREST = 10, 2
@@ -155,7 +155,7 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
     joined = joined.withColumn("__r", F.explode(F.transform(F.array(_split(F.col(text_col))), result)))
     return joined.select(
         *own, F.col("__r.n").alias("n_words"),
-        F.coalesce(F.size(F.array_distinct(F.flatten("__r.hits.hit"))), F.lit(0)).cast("long").alias("n_hit"),
+        size_or_zero(F.array_distinct(F.flatten("__r.hits.hit"))).cast("long").alias("n_hit"),
         F.coalesce(F.sort_array(F.array_distinct(F.col("__r.hits.item_id"))),
                    F.array().cast("array<string>")).alias("items"))
 

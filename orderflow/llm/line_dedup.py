@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import BLANKS, ascii_lower
+from orderflow.llm.common import BLANKS, ascii_lower, size_or_zero
 
 #: Names used on the way; input columns with such names are safe, as only id and text are taken along.
 _TEXT_KEY = "__text_key"
@@ -68,5 +68,5 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 10,
     return (joined.withColumn("__lines", lines)
             .select(*[c for c in own if c != text_col], remaining.alias(text_col),
                     F.size("__lines").cast("long").alias("n_lines"),
-                    F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+                    size_or_zero("__dropped").cast("long").alias("n_dropped"))
             .select(*own, "n_lines", "n_dropped"))

@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import BLANK_RUN, BLANKS, broadcast_if_small, materialise
+from orderflow.llm.common import BLANK_RUN, BLANKS, broadcast_if_small, materialise, size_or_zero
 
 #: Rows that a bucket is meant to hold, and the slots that a (source, class) can be dealt into at most.
 BUCKET_ROWS, SLOTS = 1000, 65_536
@@ -40,7 +40,7 @@ SMALL_ROWS = 100_000
 def n_words(text: Column) -> Column:
     """Runs of characters other than ASCII white space; 0 for null."""
     bare = F.btrim(text, F.lit(BLANKS))
-    return F.coalesce(F.when(bare == "", 0).otherwise(F.size(F.split(bare, BLANK_RUN, -1))), F.lit(0)).cast("long")
+    return F.when(bare == "", 0).otherwise(size_or_zero(F.split(bare, BLANK_RUN, -1))).cast("long")
 
 
 def _fraction(*parts: Column) -> Column:
