@@ -7,7 +7,8 @@ follow each other in order with at most ``max_gap`` other sentences between
 two of them. Longer rules come first, and a sentence serves one match.
 
 Sentences end at a full stop, exclamation or question mark before white
-space, and at line ends. A licence sentence may also run over several lines:
+space, at a colon that closes a known sentence, and at line ends. In a gap,
+bare list numbers don't count and the unknown lines of a sentence are one. A licence sentence may also run over several lines:
 neighbouring lines are joined up to ``MAX_LINES`` where a known sentence
 begins with the first of them.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,6 +81,8 @@ TRIGGERS = ("license", "licensed", "permission", "warranty", "rights", "redistri
 
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
 _ENDS = re.compile(r"(?<=[.!?])\s+")
+_COLON = re.compile(r"(?<=:)\s+")
+_NUMBER = re.compile(r"[0-9]{1,3}")
 
 
 def normalise(sentence: str) -> str:
@@ -88,6 +92,7 @@ def normalise(sentence: str) -> str:
 class Recogniser:
     def __init__(self, sentences: Mapping[str, str] = SENTENCES, rules: Sequence = RULES, max_gap: int = MAX_GAP):
         self.ids = {normalise(s): k for k, s in sentences.items()}
+        self.before_colon = {normalise(s) for s in sentences.values() if s.endswith(":")}
         if missing := [s for s in self.ids if not set(TRIGGERS) & set(s.split())]:
             raise ValueError(f"without any trigger word: {missing}")
         self.rules = sorted(rules, key=lambda r: -len(r[1]))
@@ -95,24 +100,45 @@ class Recogniser:
 
     def sentences(self, text: str) -> list[str]:
         """Normalised sentences in order, those that run over lines joined where they make a known one."""
-        parts = [p for line in text.split("\n") for s in _ENDS.split(line) if (p := normalise(s))]
-        out, k = [], 0
+        return [s for s, _ in self._counted(text)]
+
+    def _counted(self, text: str) -> list[tuple[str, bool]]:
+        """The sentences, and whether each counts as one in a gap."""
+        parts = []  # words, goes on from a colon, starts a sentence, ends one
+        starts = True
+        for line in text.split("\n"):
+            if not line.strip():
+                starts = True
+            for s in _ENDS.split(line):
+                pieces = [p for x in _COLON.split(s) if (p := normalise(x))]
+                ends = s.rstrip().endswith((".", "!", "?"))
+                for n, p in enumerate(pieces):
+                    parts.append((p, n > 0, starts, ends))
+                    starts = ends and n == len(pieces) - 1
+        out, k, after_known = [], 0, True
         while k < len(parts):
-            joined, used = parts[k], 1
-            if joined not in self.ids:
-                for n in range(2, min(MAX_LINES, len(parts) - k) + 1):
-                    joined += " " + parts[k + n - 1]
-                    if not any(s.startswith(joined) for s in self.ids):
-                        break
-                    if joined in self.ids:
-                        used = n
-            out.append(" ".join(parts[k:k + used]))
+            joined, used = "", 0
+            for n in range(1, min(MAX_LINES, len(parts) - k) + 1):
+                joined = f"{joined} {parts[k + n - 1][0]}".strip()
+                if not any(s.startswith(joined) for s in self.ids):
+                    break
+                closed = k + n == len(parts) or not parts[k + n][1] or joined in self.before_colon
+                if joined in self.ids and closed:
+                    used = n
+            known = used > 0
+            if not known:
+                used = next((n for n in range(1, len(parts) - k) if not parts[k + n][1]), len(parts) - k)
+            words = " ".join(p[0] for p in parts[k:k + used])
+            out.append((words, known or not _NUMBER.fullmatch(words) and (after_known or parts[k][2])))
+            after_known = known or bool(_NUMBER.fullmatch(words))
             k += used
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, int]]:
         """(licence, number of its first sentence), in order of the text."""
-        known = [(n, self.ids[s]) for n, s in enumerate(self.sentences(text or "")) if s in self.ids]
+        counted = self._counted(text or "")
+        place = list(accumulate(c for _, c in counted))
+        known = [(n, self.ids[s]) for n, (s, _) in enumerate(counted) if s in self.ids]
         taken, found = set(), []
         for licence, rule in self.rules:
             for k, (first, name) in enumerate(known):
@@ -121,7 +147,7 @@ class Recogniser:
                 used, at = [k], first
                 for wanted in rule[1:]:
                     after = next((j for j in range(used[-1] + 1, len(known)) if j not in taken
-                                  and known[j][0] - at <= self.max_gap + 1 and known[j][1] == wanted), None)
+                                  and place[known[j][0]] - place[at] <= self.max_gap + 1 and known[j][1] == wanted), None)
                     if after is None:
                         break
                     used.append(after)
