@@ -9,8 +9,8 @@ two of them. Longer rules come first, and a sentence serves one match.
 Sentences end at a full stop, exclamation or question mark before white
 space, at a colon that closes a known sentence, and at line ends. In a gap,
 bare list numbers don't count and the unknown lines of a sentence are one. A licence sentence may also run over several lines:
-neighbouring lines are joined up to ``MAX_LINES`` where a known sentence
-begins with the first of them.
+neighbouring lines are joined, however many, as long as a known sentence
+begins with them.
 
 Texts without any of the words that every known sentence has one of are
 passed over before they reach Python; that filter is exact.
@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_GAP, MAX_LINES = 3, 12
+MAX_GAP = 3
 
 # Wording of public licences and notices, and the SPDX names they stand for.
 SENTENCES = {
@@ -118,7 +118,7 @@ class Recogniser:
         out, k, after_known = [], 0, True
         while k < len(parts):
             joined, used = "", 0
-            for n in range(1, min(MAX_LINES, len(parts) - k) + 1):
+            for n in range(1, len(parts) - k + 1):
                 joined = f"{joined} {parts[k + n - 1][0]}".strip()
                 if not any(s.startswith(joined) for s in self.ids):
                     break

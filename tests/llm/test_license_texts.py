@@ -38,3 +38,10 @@ def test_gap_still_ends():
     far = "\n".join(f"Sentence number {w} is here." for w in ("one", "two", "three", "four"))
     assert [x for x, _ in Recogniser().scan(f"{SENTENCES['bsd-redistribution']}\n{far}\n{SENTENCES['bsd-endorse']}")] \
         == ["BSD-2-Clause"]
+
+
+@pytest.mark.parametrize("width", [1, 12])
+def test_narrow_columns(width):
+    for name, licence in (("mit-grant", "MIT"), ("gpl-free", "GPL-3.0-or-later")):
+        text = SENTENCES[name] + (" " + SENTENCES["mit-notice"] if licence == "MIT" else "")
+        assert [x for x, _ in Recogniser().scan(textwrap.fill(text, width, break_long_words=False))] == [licence]
