@@ -27,6 +27,14 @@ def size_or_zero(c: Column | str) -> Column:
     return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 

@@ -20,6 +20,7 @@ from orderflow.llm import (
     language_crf,
     license_rules,
     line_dedup,
+    periodic_runs,
     simhash_dedup,
     source_mix,
     token_counts,
@@ -215,3 +216,61 @@ def op10_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.size("licenses").cast("long").alias("n_matches"),
                     F.array_join("licenses", ",").alias("licenses"),
                     F.array_join(F.col("sentences").cast("array<string>"), ",").alias("sentences")))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(periodic_runs.with_cycles(table(spark, sf_dir, "documents")))
+    # greatest length, then smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"),
+                                                              (-r["period"]).alias("q"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return (found.withColumn("best", best)
+            .select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"),
+                    F.col("best.n").alias("length"), (-F.col("best.q")).alias("period"),
+                    F.expr("best.n * 1000 div -best.q").alias("exponent_milli"),
+                    F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                    F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+ORACLES["op11_periodic_runs"] = r"""
+WITH h AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295::BIGINT,
+           list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)),
+             lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h
+  FROM documents
+), split AS (
+  SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o FROM h
+), placed AS (
+  SELECT doc_id, o, len(o) AS n, CASE WHEN h % 10 = 0 AND len(o) > 0 THEN g % len(o) END AS a, g FROM split
+), cycled AS (
+  SELECT doc_id, n, o, a, 1 + (n - a) // (3 + g % 8) AS p FROM placed
+), words AS (
+  SELECT doc_id, n, i, CASE WHEN a IS NULL OR i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM cycled)
+), pairs AS (
+  SELECT x.doc_id, x.i, x.i - y.i AS q FROM words x JOIN words y
+    ON x.doc_id = y.doc_id AND x.w = y.w AND y.i < x.i AND 4 * (x.i - y.i) <= x.n
+), grouped AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT doc_id, q, min(i) - q AS s, count(*) + q AS len FROM grouped GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT doc_id, s, len, min(q) AS q FROM stretches GROUP BY doc_id, s, len
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs
+), kept AS (
+  SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS t
+  FROM words w ANTI JOIN gone USING (doc_id, i) GROUP BY w.doc_id
+), per AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({'s': s, 'len': len, 'q': q}, {'l': -len, 's': s, 'q': q}) AS b,
+         string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS l
+  FROM runs GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.len::BIGINT AS length,
+       b.q::BIGINT AS period, (1000 * b.len // b.q)::BIGINT AS exponent_milli,
+       sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
