@@ -18,6 +18,7 @@ from orderflow.llm import (
     decontamination,
     fingerprints,
     language_crf,
+    lexical_search,
     license_rules,
     line_dedup,
     periodic_runs,
@@ -274,3 +275,32 @@ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.s::BIGINT AS start, b.
        sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
 FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH terms AS (
+  SELECT doc_id, t, tf, sum(tf) OVER (PARTITION BY doc_id)::BIGINT AS n FROM (
+    SELECT doc_id, t, count(*) AS tf FROM (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents) GROUP BY doc_id, t)
+), totals AS (
+  SELECT count(DISTINCT doc_id) AS nd, sum(tf)::BIGINT AS l FROM terms
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM terms, totals GROUP BY t, nd
+), asked AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY item_id, t
+), scored AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // l))))::BIGINT AS score
+  FROM asked JOIN weights USING (t) JOIN terms USING (t), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
