@@ -21,6 +21,7 @@ from orderflow.llm import (
     lexical_search,
     license_rules,
     line_dedup,
+    ngram_join,
     periodic_runs,
     simhash_dedup,
     source_mix,
@@ -304,3 +305,32 @@ SELECT item_id, rank::INT AS rank, doc_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
 WHERE rank <= 20
 """
+
+
+@query
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
+# all pairs with a common shingle; a document reaches its component's least id over its links (cycles are cut by UNION)
+ORACLES["op13_ngram_join"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ')
+         ELSE w[s] || ' ' || w[s + 1] || ' ' || w[s + 2] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS s FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT x.doc_id AS u, y.doc_id AS v, count(*) AS k FROM shingles x JOIN shingles y ON x.g = y.g AND x.doc_id <> y.doc_id
+  GROUP BY u, v
+), links AS (
+  SELECT u, v FROM shared JOIN sizes a ON u = a.doc_id JOIN sizes b ON v = b.doc_id WHERE 100 * k >= 90 * (a.n + b.n - k)
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT u, min(v) AS component_id FROM reach GROUP BY u) c ON d.doc_id = c.u
+"""
