@@ -17,7 +17,7 @@ is the radius of the join.
    all sets are kept in (here by hash, with the shingles that most documents
    have last), and sizes differ by at most the factor percent / 100. Guests of
    a region of one node are dropped if a contraction of the metric, the
-   similarity of their counts of shingles in 32 classes, is too low already.
+   similarity of their counts of shingles in classes of hashes, is too low already.
 4. Regions are joined exactly: within a task two far members become pivots, the
    distances to both and the triangle inequality deal the others into two
    halves, with those whose distances differ by 2 r at most in both, and the
@@ -59,7 +59,8 @@ HASHES, DENSE, AGREE = 8, 8, 3
 HOT_DOCS, HOT_ROWS, SMALL_ROWS = 64, 1_000_000, 2_000_000
 #: Nodes that a region may hold before it is joined in chunks; nodes compared without further pivots.
 MAX_REGION, LEAF = 2048, 48
-CLASSES = 32
+#: Shingles to a class, on average, in the counts that are compared before sets; classes at least.
+CLASS_SIZE, CLASSES = 16, 32
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -104,9 +105,10 @@ def _over_sets(read: Callable[[np.ndarray], tuple], names: list[str], keys: list
 
 def _profile(found: np.ndarray) -> tuple:
     a, b = (xxhash.xxh3_64_intdigest(found.tobytes(), seed) for seed in (1, 2))
-    classes = np.minimum(np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=CLASSES), 255)
+    bits = max(CLASSES, len(found) // CLASS_SIZE).bit_length() - 1
+    classes = np.minimum(np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255)
     mins = [int((found * odd).min().view(np.int64)) for odd in _ODD[:HASHES]]
-    window = found[:len(found) // 5 + 1].view(np.int64)
+    window = found[:len(found) // 8 + 1].view(np.int64)
     return (np.uint64(a).view(np.int64), np.uint64(b).view(np.int64), len(found), mins, classes.astype(np.uint8).tobytes(), window)
 
 
@@ -118,18 +120,21 @@ def _nodes(profiles: DataFrame) -> DataFrame:
 
 
 def _homes(nodes: DataFrame) -> DataFrame:
-    """(id, home): the region that each node belongs to, named by its pivot or by itself."""
+    """(id, row, n, home, crowd): the region that each node belongs to, named by its pivot or by itself; crowd: its nodes, if many."""
     hashes = nodes.select("id", F.posexplode("mins").alias("k", "value"))
     pivots = hashes.groupBy("k", "value").agg(F.min("id").alias("pivot"), F.count("*").alias("nodes")).where(F.col("nodes") >= DENSE)
     near = (hashes.join(pivots, ["k", "value"]).groupBy("id", "pivot").agg(F.count("*").alias("agree"))
             .where(F.col("agree") >= AGREE))
     best = near.groupBy("id").agg(F.max_by("pivot", F.struct("agree", -F.col("pivot"))).alias("pivot"))
-    return materialise(nodes.select("id", "a", "b", "row", "n").join(best, "id", "left")
-                       .select("id", "a", "b", "row", "n", F.coalesce("pivot", "id").alias("home")), "homes")
+    homes = materialise(nodes.select("id", "row", "n").join(best, "id", "left")
+                        .select("id", "row", "n", F.coalesce("pivot", "id").alias("home")), "homes")
+    crowds = materialise(homes.groupBy("home").agg(F.count("*").alias("crowd")).where(F.col("crowd") > 1), "crowds")
+    return materialise(homes.join(broadcast_if_small(crowds, SMALL_ROWS), "home", "left")
+                       .select("id", "row", "n", "home", "crowd"), "homes")
 
 
 def _frequent(profiles: DataFrame) -> np.ndarray:
-    """The shingles among the first fifth of their sets in most rows: at most HOT_ROWS, in HOT_DOCS rows each at least."""
+    """The shingles among the first eighth of their sets in most rows: at most HOT_ROWS, in HOT_DOCS rows each at least."""
     counts = materialise(profiles.select(F.explode("window").alias("s")).groupBy("s").agg(F.count("*").alias("rows"))
                          .where(F.col("rows") > HOT_DOCS), "frequent")
     least = HOT_DOCS
@@ -139,7 +144,7 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, homes: DataFrame, frequent: np.ndarray, percent: int, shingle_words: int) -> DataFrame:
-    """(s, id, home, n): the first shingles of every node, frequent ones last in the order."""
+    """(s, id, home, n, crowd): the first shingles of every node, frequent ones last in the order."""
 
     def read(found: np.ndarray) -> tuple:
         k = prefix_length(len(found), percent)
@@ -149,26 +154,40 @@ def _prefixes(docs: DataFrame, homes: DataFrame, frequent: np.ndarray, percent:
         return (found[:k].view(np.int64),)
 
     kept = docs.mapInPandas(_over_sets(read, ["prefix"], ["row"], shingle_words), "row long, prefix array<long>")
-    return (kept.join(homes, "row").select(F.explode("prefix").alias("s"), "id", "home", "n"))
+    kept = materialise(kept.join(homes, "row").select("id", "home", "n", "crowd", "prefix"), "prefixes")
+    return kept.select(F.explode("prefix").alias("s"), "id", "home", "n", "crowd")
 
 
 def _guests(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(id, home): nodes to be replicated to a region of a smaller name than their own."""
-    of_region = prefixes.groupBy("s", "home").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    """(id, home, crowd): nodes to be replicated to a region of a smaller name than their own."""
+    of_region = (prefixes.where("crowd IS NOT NULL").groupBy("s", "home", "crowd").agg(F.min("n"), F.max("n"))
+                 .union(prefixes.where("crowd IS NULL").select("s", "home", "crowd", "n", "n"))
+                 .toDF("s", "home", "crowd", "least", "most"))
     met = (prefixes.alias("x").join(of_region.alias("r"), "s")
            .where("r.home < x.home").where((F.col("x.n") * 100 >= F.col("least") * percent)
                                            & (F.col("x.n") * percent <= F.col("most") * 100))
-           .select("x.id", F.col("r.home").alias("home")).distinct())
+           .select("x.id", F.col("r.home").alias("home"), F.col("r.crowd").alias("crowd")).distinct())
     return materialise(met, "guests")
 
 
+def _folded(classes: bytes, size: int) -> np.ndarray:
+    """Counts of ``size`` classes from those of as many or more; each class halves in two."""
+    counts = np.frombuffer(classes, np.uint8).astype(np.int64)
+    return counts.reshape(size, -1).sum(1)
+
+
+def _shared_at_most(a: bytes, b: bytes) -> int:
+    size = min(len(a), len(b))
+    if b"\xff" in a or b"\xff" in b:  # counts stop at 255
+        return 2 ** 62
+    return int(np.minimum(_folded(a, size), _folded(b, size)).sum())
+
+
 def _may_link(percent: int) -> Callable:
     @F.pandas_udf("boolean")
     def run(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, CLASSES).astype(np.int64) for c in (x, y))
-        shared = np.minimum(a, b).sum(1)
-        full = (a == 255).any(1) | (b == 255).any(1)  # counts stop there
-        return pd.Series(full | (100 * shared >= percent * (n.to_numpy() + m.to_numpy() - shared)))
+        shared = np.minimum([_shared_at_most(a, b) for a, b in zip(x, y)], np.minimum(n, m).to_numpy())
+        return pd.Series(100 * shared >= percent * (n.to_numpy() + m.to_numpy() - shared))
     return run
 
 
@@ -268,17 +287,17 @@ def _edges(docs: DataFrame, profiles: DataFrame, nodes: DataFrame, percent: int,
     """(u, v): edges between node ids that span all links."""
     homes = _homes(nodes)
     guests = _guests(_prefixes(docs, homes, _frequent(profiles), percent, shingle_words), percent)
-    crowds = homes.groupBy("home").agg(F.count("*").alias("members"))
     # a region of one node: the guest is compared by counts first
     sizes = nodes.select("id", "n", "classes")
-    alone = (guests.join(crowds.where("members = 1").select("home"), "home", "left_semi")
-             .join(sizes, "id").join(sizes.toDF("home", "m", "others"), "home")
+    sole = (homes.where("crowd IS NULL").select("id", "home").join(sizes, "id")  # not always the pivot itself
+            .select("home", F.col("n").alias("m"), F.col("classes").alias("others")))
+    alone = (guests.where("crowd IS NULL").join(sizes, "id").join(sole, "home")
              .where(_may_link(percent)("n", "m", "classes", "others")).select("id", "home"))
-    visits = materialise(alone.union(guests.join(crowds.where("members = 1").select("home"), "home", "left_anti")
-                                     .select("id", "home")), "visits")
-    busy = visits.select("home").union(crowds.where("members > 1").select("home")).distinct()
+    visits = materialise(alone.union(guests.where("crowd IS NOT NULL").select("id", "home")), "visits")
+    hosts = homes.join(visits.select("home").distinct(), "home", "left_semi").where("crowd IS NULL")
     rows = materialise(visits.select(F.col("home").alias("region"), "id", F.lit(True).alias("guest"))
-                       .union(homes.join(busy, "home", "left_semi").select("home", "id", F.lit(False))), "regions")
+                       .union(homes.where("crowd IS NOT NULL").select("home", "id", F.lit(False)))
+                       .union(hosts.select("home", "id", F.lit(False))), "regions")
     needed = materialise(homes.join(rows.select("id").distinct(), "id", "left_semi").select("row", "id"), "needed")
     read = docs.join(broadcast_if_small(needed, SMALL_ROWS), "row")
     sets = read.mapInPandas(_over_sets(lambda found: (found.tobytes(),), ["shingles"], ["id"], shingle_words),
