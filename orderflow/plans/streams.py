@@ -3,18 +3,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderflow import schemas
 from orderflow.operators import legacy, lifecycle, positions
 from orderflow.plans import dashboards, feeds, orderlog  # noqa: F401  (oracles reused below)
-from orderflow.plans.catalog import N, ORACLE_RAW, fx, register
+from orderflow.plans.catalog import AS_OF, N, ORACLE_RAW, fx, register
 from orderflow.session import list_folder, scratch_path
 from orderflow.sources import messages
 from orderflow.sources.fixtures import positions_from
-from orderflow.streaming import gate_stream, run_available_now, table_stream
+from orderflow.streaming import gate_event_time, run_available_now, table_stream
 from orderflow.streaming.gate import gate_into_log
+from orderflow.streaming.live import kpi_row_writer, match_live, read_kpi_row, read_slots, slot_writer
 from orderflow.streaming.sinks import append_batch
 
 #: A feed is replayed in this many micro-batches; each reads its share of the feed's files, however many those are.
@@ -235,12 +238,25 @@ def q_stream_match(spark, sf):
     return _ntz(out, "event_timestamp")
 
 
+def _shuffled_responses(spark, f) -> tuple[DataFrame, int]:
+    """The responses as a feed in no order, closed by a row without an order; and the seconds that they span."""
+    path = scratch_path(spark, "response-feed")
+    f.responses.repartition(_files(spark)).write.parquet(path)
+    span = spark.read.parquet(path).select(F.col("event_timestamp").cast("timestamp").alias("t")).agg(
+        F.max("t").alias("last"), (F.unix_seconds(F.max("t")) - F.unix_seconds(F.min("t"))).alias("s")).first()
+    if span.last is not None:
+        end = spark.createDataFrame([(None, None, None, None, span.last + dt.timedelta(seconds=4 * span.s + 7200))],
+                                    schemas.RIDER_RESPONSE)
+        end.coalesce(1).write.mode("append").parquet(path)  # the newest file is read last
+    feed = table_stream(spark, path, schemas.RIDER_RESPONSE, ts_cols=("event_timestamp",), max_files=_per_trigger(spark))
+    return feed, int(span.s or 0)
+
+
 @register("gate_stream", oracle=ORACLE_RAW["gate_batch"], headline=True)
 def q_gate_stream(spark, sf):
-    """C6 streaming: the decision gate with per-order state."""
-    f = fx(spark, sf)
-    out = _replay_in_time_order(spark, f, "stream-gate", lambda s, out, checkpoint: run_available_now(
-        gate_stream(f.responses_of(s), N), "stream-gate", out=out, checkpoint=checkpoint))
+    """C6 streaming: the event-time gate over a shuffled feed, whose delay is all the time that it spans."""
+    feed, span = _shuffled_responses(spark, fx(spark, sf))
+    out = run_available_now(gate_event_time(feed, N, delay=f"{span + 1} seconds", horizon_seconds=span + 1), "stream-gate")
     return _ntz(out, "event_timestamp")
 
 
@@ -251,3 +267,56 @@ def q_gate_stream_table(spark, sf):
     out = _replay_in_time_order(spark, f, "gate-log", lambda s, out, checkpoint: run_available_now(
         f.responses_of(s), "gate-table", out=out, checkpoint=checkpoint, foreach_batch=gate_into_log(out, N)))
     return _ntz(out.drop("epoch_id"), "event_timestamp")
+
+
+def _log_in_ranges(spark, f) -> str:
+    """The status log as a feed of MICRO_BATCHES ranges of time, written one after the other and read in that order."""
+    path, log = scratch_path(spark, "log-ranges"), f.orders_status
+    micros = F.unix_micros(F.col("event_timestamp").cast("timestamp"))
+    cuts = log.agg(F.percentile_approx(micros, [k / MICRO_BATCHES for k in range(1, MICRO_BATCHES)]).alias("c")).first().c or []
+    part = sum((F.when(micros <= c, 0).otherwise(1) for c in cuts), F.lit(0))
+    for k in range(MICRO_BATCHES):
+        log.where(part == k).repartition(_per_trigger(spark)).write.mode("append").parquet(path)
+    return path
+
+
+@register("stream_kpi_row", oracle=ORACLE_RAW["daily_kpis"], headline=True)
+def q_stream_kpi_row(spark, sf):
+    """D6 streaming: the daily KPI row kept up to date over the status log, in no order of time."""
+    f = fx(spark, sf)
+    out = scratch_path(spark, "kpi-row")
+    run_available_now(_log_stream(spark, f), "kpi-row", out=out,
+                      foreach_batch=kpi_row_writer(out, f.orders, AS_OF, N))
+    return read_kpi_row(spark, out)
+
+
+@register("stream_slots_late", oracle="""
+SELECT time_bucket(INTERVAL 15 MINUTE, event_timestamp) AS window_start, COUNT(*) AS num_orders
+FROM f_orders_status WHERE status = 'pending' GROUP BY 1
+""")
+def q_stream_slots_late(spark, sf):
+    """D10 streaming with a watermark of a day over a log in no order: on-time and late counts add up to the batch count."""
+    out = scratch_path(spark, "slots-late")
+    pending = _log_stream(spark, fx(spark, sf)).filter(F.col("status") == "pending")
+    run_available_now(pending, "slots-late", out=out, foreach_batch=slot_writer(out, delay_seconds=86400))
+    counts = read_slots(spark, out).select("window_start", (F.col("num_orders") + F.col("late_orders")).alias("num_orders"))
+    return _ntz(counts, "window_start")
+
+
+@register("stream_match_window", oracle="""
+SELECT r.order_id, r.rider_id, r.status, p.event_timestamp AS offered_at, r.event_timestamp AS answered_at
+FROM f_orders_status p JOIN f_orders_status r ON p.order_id = r.order_id
+WHERE p.status = 'pending' AND r.status IN ('accepted', 'denied') AND r.rider_id IN (SELECT rider_id FROM f_roster)
+  AND r.event_timestamp >= p.event_timestamp AND r.event_timestamp <= p.event_timestamp + INTERVAL 8 MINUTE
+""")
+def q_stream_match_window(spark, sf):
+    """C10 streaming: the feed of placed orders joined to the feed of answers within 8 minutes, both live."""
+    f = fx(spark, sf)
+    path = _log_in_ranges(spark, f)
+    feed = lambda: table_stream(spark, path, schemas.ORDERS_STATUS, ts_cols=("event_timestamp",),
+                                max_files=_per_trigger(spark))
+    offers = feed().where("status = 'pending'").select("order_id", F.col("event_timestamp").alias("offered_at"))
+    answers = (feed().where("status IN ('accepted', 'denied')")
+               .select("order_id", "rider_id", "status", F.col("event_timestamp").alias("answered_at")))
+    out = run_available_now(match_live(offers, answers, f.roster, within="8 MINUTES", delay="1 day"), "stream-match-window")
+    return _ntz(out, "offered_at", "answered_at")

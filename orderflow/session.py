@@ -134,11 +134,16 @@ def list_folder(spark: SparkSession, path: str) -> list[str] | None:
     return [s.getPath().getName() for s in fs.listStatus(p)]
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` and all below it on any Hadoop file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete everything this application has materialised with ``scratch_path``.
 
     Frames that read those folders must not be used afterwards.  Works on
     any Hadoop file system.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    delete_folder(spark, scratch_root(spark))

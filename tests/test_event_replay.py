@@ -40,7 +40,8 @@ def test_gate_streams_of_a_folder(spark, folder_sf, name, monkeypatch):
     want = sorted(r.response_id for r in lifecycle.admit_responses(f.responses_of(f.table("events")), catalog.N).collect())
     got = catalog.REGISTRY[name](spark, folder_sf)
     assert sorted(r.response_id for r in got.collect()) == want and want
-    assert len(batches) == streams.MICRO_BATCHES
+    # one query over a shuffled feed, or one run for each range of time
+    assert len(batches) == {"gate_stream": 1, "gate_stream_table": streams.MICRO_BATCHES}[name]
     one_file = catalog.REGISTRY[name](spark, SF_SMALL)
     assert sorted(map(tuple, one_file.collect())) == sorted(map(tuple, got.collect()))
 
