@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderflow.session import scratch_path
@@ -56,6 +57,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def least_by_hash(rows: DataFrame, group: str, key: str, k: int) -> DataFrame:
+    """``rows`` (group, key) of the ``k`` least hashes of ``key`` in each group, with their rank ``k``; equal rows are one.
+
+    A group's size gives a hash below which some more than ``k`` of its rows must lie, so that only those are ranked,
+    however many rows a group has; if too few do after all, the bound is doubled.
+    """
+    rows = rows.select(group, key).distinct()
+    sizes = {r[group]: r.n for r in rows.groupBy(group).agg(F.count("*").alias("n")).collect()}  # a row per group
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
+    place = F.xxhash64(key) / 2.0 ** 64 + 0.5
+    wanted = k + 8 * math.sqrt(k) + 50
+    while True:
+        bound = F.lit(0.0)
+        for value, n in sizes.items():
+            bound = F.when(F.col(group) == value, min(1.0, wanted / n)).otherwise(bound)
+        ranked = materialise(rows.where(place <= bound).withColumn("k", rank).where(F.col("k") <= k), "least-by-hash")
+        found = {r[group]: r.n for r in ranked.groupBy(group).agg(F.count("*").alias("n")).collect()}
+        if all(found.get(value, 0) >= min(k, n) for value, n in sizes.items()):
+            return ranked
+        wanted *= 2
+
+
 def learnable(doc_id: Column, modulus: int, held_out: int) -> Column:
     """True for rows outside the held-out fold ``crc32(doc_id as text) mod modulus = held_out``."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus != held_out, F.lit(False))

@@ -26,10 +26,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import broadcast_if_small, learnable, materialise
+from orderflow.llm.common import broadcast_if_small, learnable, least_by_hash
 
 #: Bounds of the training sample.
 DOCS_PER_LABEL, PIECES_PER_DOC, PIECE_BYTES = 1200, 4, 1024
@@ -108,9 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, docs_per_label: int = DOCS_PER_LA
     marks = labels.where(F.col(label_col).isin(0, 1)) \
         .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     # the sample is chosen by id, so that only its texts move
-    least = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = materialise(marks.withColumn("k", F.row_number().over(least)).where(F.col("k") <= docs_per_label),
-                         "labelled-sample")
+    chosen = least_by_hash(marks, "label", "id", docs_per_label)
     shares = {r["label"]: r["n"] for r in
               marks.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
