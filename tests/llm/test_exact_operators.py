@@ -262,15 +262,20 @@ def test_bit_sliced_distances(values, radius, seed):
 
 
 def test_keep_one_per_component(docs, empty):
-    rows = docs.collect()
-    comp = plain_components([(r.doc_id, plain_fp(r.text)) for r in rows], 4)
-    want = {r.doc_id for r in rows if r.doc_id is not None and comp[plain_fp(r.text)] == r.doc_id}
+    """Every component keeps one (id, text): of its least id. An id with texts in several components may stay in each."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    comp = plain_components([(i, plain_fp(t)) for i, t in rows], 4)
     kept = simhash_dedup.keep_one_per_component(docs)
     assert kept.columns == docs.columns
-    ids = Counter(r.doc_id for r in kept.collect())
-    assert ids.pop(None) == 1
-    # an id stays unless one of its rows belongs to an earlier document
-    assert set(ids) <= want and set(ids.values()) == {1} and len(want - set(ids)) <= 1
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert Counter({k: n for k, n in got.items() if k[0] is None}) == Counter(k for k in rows if k[0] is None)
+    named = [(i, t) for i, t in got.elements() if i is not None]
+    least = {comp[plain_fp(t)] for i, t in rows if i is not None}
+    assert set(named) <= set(rows) and all(comp[plain_fp(t)] == i for i, t in named)
+    # two components may have the same least id, but no two kept rows are linked
+    assert {i for i, _ in named} == least
+    fps = [plain_fp(t) for _, t in named]
+    assert all(((a ^ b) & (2 ** 64 - 1)).bit_count() > 4 for k, a in enumerate(fps) for b in fps[:k])
     assert simhash_dedup.keep_one_per_component(empty).count() == 0
 
 
