@@ -67,7 +67,7 @@ def run_available_now(stream: DataFrame, name: str, *, mode: str = "append",
         from orderflow.streaming.sinks import changelog_batch, read_latest
         if not keys:
             raise ValueError("update mode needs the key columns of the aggregate")
-        q = (stream.writeStream.foreachBatch(lambda df, eid: changelog_batch(df, eid, out)).outputMode("update")
+        q = (stream.writeStream.foreachBatch(lambda df, eid: changelog_batch(df, eid, out, keys)).outputMode("update")
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
         q.awaitTermination()
         # the sink is read as it stands: a restart without new input returns what earlier runs wrote
