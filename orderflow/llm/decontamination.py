@@ -27,7 +27,8 @@ that have an item's rarest words close together in any order.
 Defined cases: null text has no words; an item without words matches nothing;
 an item with a null id counts as item ``null``; repeated items are one, and
 repeated documents each get their result; empty tables give no hits; extra
-columns are kept, and names used on the way start with two underscores.
+columns are kept, whatever their names, but for any named ``n_words``,
+``n_hit`` or ``items``, which the results replace.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import ascii_lower, broadcast_if_small, materialise, size_or_zero
+from orderflow.llm.common import ascii_lower, broadcast_if_small, fresh, materialise, size_or_zero
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, RAREST = 10, 2
@@ -138,25 +139,26 @@ def phrase_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW,
                 id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                 item_text_col: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit, and ``items``: the sorted ids of the items that have occurring windows."""
+    doc, met, key, out = (fresh(docs, n) for n in ("__doc", "__found", "__key", "__r"))  # no own column has them
     items = _items(benchmark, item_id_col, item_text_col)
     anchors, index = _plan(docs, items, window, rarest, id_col, text_col)
     found = (_candidates(anchors, index, rarest).join(broadcast_if_small(items, SMALL_ROWS), "item")
-             .groupBy(F.col("doc").alias("__doc"))
-             .agg(F.collect_list(F.struct("item_id", "shift", "q")).alias("__found")))
+             .groupBy(F.col("doc").alias(doc))
+             .agg(F.collect_list(F.struct("item_id", "shift", "q")).alias(met)))
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "items")]
-    rows = docs.select(*own, _key(id_col, text_col).alias("__key"))
-    joined = rows.join(found, F.col("__key") == F.col("__doc"), "left")
+    rows = docs.select(*own, _key(id_col, text_col).alias(key))
+    joined = rows.join(found, F.col(key) == F.col(doc), "left")
 
     def result(words: Column) -> Column:
         return F.struct(_count(words).alias("n"),
-                        F.when(F.col("__found").isNotNull(), _checked(words, F.col("__found"), window)).alias("hits"))
+                        F.when(F.col(met).isNotNull(), _checked(words, F.col(met), window)).alias("hits"))
 
     # the one-element array binds the split words once, for all uses within the lambda
-    joined = joined.withColumn("__r", F.explode(F.transform(F.array(_split(F.col(text_col))), result)))
+    joined = joined.withColumn(out, F.explode(F.transform(F.array(_split(F.col(text_col))), result)))
     return joined.select(
-        *own, F.col("__r.n").alias("n_words"),
-        size_or_zero(F.array_distinct(F.flatten("__r.hits.hit"))).cast("long").alias("n_hit"),
-        F.coalesce(F.sort_array(F.array_distinct(F.col("__r.hits.item_id"))),
+        *own, F.col(out)["n"].alias("n_words"),
+        size_or_zero(F.array_distinct(F.flatten(F.col(out)["hits"]["hit"]))).cast("long").alias("n_hit"),
+        F.coalesce(F.sort_array(F.array_distinct(F.col(out)["hits"]["item_id"])),
                    F.array().cast("array<string>")).alias("items"))
 
 
@@ -174,18 +176,17 @@ def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, span: int = 20,
                       item_text_col: str = "text") -> DataFrame:
     """(item_id, doc, pos): places of an item's rarest word that has its other rarest words at most ``span`` away.
 
-    An item takes its ``terms`` rarest distinct words (all, if it has fewer);
+    An item takes the ``terms`` rarest of its distinct words that documents have (all, if they are fewer; none: no match);
     ``doc`` is the hash of id and text. Positions meet through buckets of
     ``span``, so the range test is an equi-join with two neighbours.
     """
     items = _items(benchmark, item_id_col, item_text_col)
     vocabulary = materialise(items.select(F.explode("q").alias("term")).distinct(), "benchmark-terms")
     frequencies = materialise(_frequencies(docs, vocabulary, id_col, text_col), "frequencies")
+    # words that no document has can't be near anything: an item goes by its others
     rare = (items.select("item", "item_id", F.explode(F.array_distinct("q")).alias("term"))
-            .join(frequencies, "term", "left")
-            .groupBy("item", "item_id").agg(F.sort_array(F.collect_list(F.struct(
-                F.coalesce("n", F.lit(0)).alias("n"), "term"))).alias("words"))
-            .where(F.col("words")[0]["n"] > 0)
+            .join(frequencies, "term")
+            .groupBy("item", "item_id").agg(F.sort_array(F.collect_list(F.struct("n", "term"))).alias("words"))
             .select("item", "item_id", F.slice("words.term", 1, terms).alias("rare")))
     rare = materialise(rare, "rare-terms")
     index = build_index(docs, rare.select(F.explode("rare").alias("term")).distinct(),

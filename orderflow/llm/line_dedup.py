@@ -15,7 +15,8 @@ together in order.  Keys are compared by 128 bits of hash.
 Defined cases: null or empty text is one empty line; rows with a null doc_id
 are kept whole and not counted; repeated rows with one doc_id are one
 document; an empty table gives an empty result; extra columns are kept by
-``dedup_lines`` and never read.
+``dedup_lines`` and never read, whatever their names, but for any named
+``n_lines`` or ``n_dropped``, which the results replace.
 """
 
 from __future__ import annotations
@@ -23,10 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import BLANKS, ascii_lower, size_or_zero
-
-#: Names used on the way; input columns with such names are safe, as only id and text are taken along.
-_TEXT_KEY = "__text_key"
+from orderflow.llm.common import BLANKS, ascii_lower, fresh, size_or_zero
 
 
 def dropped_positions(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 10,
@@ -54,19 +52,20 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 2, min_chars: int = 10,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with its remaining lines as text, and the columns ``n_lines`` and ``n_dropped`` added."""
     drops = dropped_positions(docs, min_docs=min_docs, min_chars=min_chars, id_col=id_col, text_col=text_col)
-    drops = drops.select(F.col("doc_id").alias("__id"), F.col("text_key").alias(_TEXT_KEY),
-                         F.col("dropped").alias("__dropped"))
+    # names on the way that no own column has
+    id_, text_key, dropped, key, cut = (fresh(docs, n) for n in ("__id", "__text_key", "__dropped", "__key", "__lines"))
+    drops = drops.select(F.col("doc_id").alias(id_), F.col("text_key").alias(text_key), F.col("dropped").alias(dropped))
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    rows = docs.select(*own).withColumn("__key", F.xxhash64(text_col))
-    joined = rows.join(drops, (F.col(id_col) == F.col("__id")) & (F.col("__key") == F.col(_TEXT_KEY)), "left")
+    rows = docs.select(*own).withColumn(key, F.xxhash64(text_col))
+    joined = rows.join(drops, (F.col(id_col) == F.col(id_)) & (F.col(key) == F.col(text_key)), "left")
     lines = F.split(F.coalesce(text_col, F.lit("")), "\n", -1)
     n = F.size(lines)
     # positions in order without the dropped ones, in one hashed pass
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("__dropped"))
-    remaining = (F.when(F.col("__dropped").isNull(), F.coalesce(text_col, F.lit("")))
-                 .otherwise(F.array_join(F.transform(kept, lambda p: F.get("__lines", p)), "\n")))
-    return (joined.withColumn("__lines", lines)
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col(dropped))
+    remaining = (F.when(F.col(dropped).isNull(), F.coalesce(text_col, F.lit("")))
+                 .otherwise(F.array_join(F.transform(kept, lambda p: F.get(cut, p)), "\n")))
+    return (joined.withColumn(cut, lines)
             .select(*[c for c in own if c != text_col], remaining.alias(text_col),
-                    F.size("__lines").cast("long").alias("n_lines"),
-                    size_or_zero("__dropped").cast("long").alias("n_dropped"))
+                    F.size(cut).cast("long").alias("n_lines"),
+                    size_or_zero(dropped).cast("long").alias("n_dropped"))
             .select(*own, "n_lines", "n_dropped"))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from orderflow.llm import decontamination, line_dedup
 
 
 def test_language_stage_keeps_own_columns(spark, docs):
@@ -13,3 +14,30 @@ def test_language_stage_keeps_own_columns(spark, docs):
     assert len(rows) > 10
     assert {r.lang_pred for r in rows} == {"own"}
     assert all(r.score == (None if r.doc_id is None else 2 * r.doc_id) for r in rows)
+
+
+def owned(docs, *names):
+    return docs.withColumns({n: F.concat(F.lit(f"{n} of "), F.col("doc_id")) for n in names})
+
+
+def test_line_dedup_keeps_own_columns(docs):
+    names = ("__id", "__key", "__lines", "__LINES_", "__dropped", "__text_key", "h1", "key", "pos", "keep")
+    table = owned(docs.where("doc_id IS NOT NULL"), *[n for n in names if n not in docs.columns])
+    got = line_dedup.dedup_lines(table)
+    assert got.columns == [*table.columns, "n_lines", "n_dropped"]
+    want = line_dedup.dedup_lines(docs.where("doc_id IS NOT NULL"))
+    plain = lambda df: sorted((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in df.collect())
+    assert plain(got) == plain(want)
+    assert all(r["__key"] == f"__key of {r.doc_id}" and r["__id"] == f"__id of {r.doc_id}" for r in got.collect())
+
+
+def test_phrase_hits_keep_own_columns(spark, docs):
+    items = spark.createDataFrame([(1, "one two"), (2, "the shared passage has exactly these words in it and goes")],
+                                  "item_id long, text string")
+    table = owned(docs.where("doc_id IS NOT NULL"), "__key", "__doc", "__found", "__r", "doc", "item", "shift")
+    got = decontamination.phrase_hits(table, items)
+    assert got.columns == [*table.columns, "n_words", "n_hit", "items"]
+    want = decontamination.phrase_hits(docs.where("doc_id IS NOT NULL"), items)
+    plain = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in df.collect())
+    assert plain(got) == plain(want) and any(r[2] for r in plain(got))
+    assert all(r["__found"] == f"__found of {r.doc_id}" for r in got.collect())

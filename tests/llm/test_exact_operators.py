@@ -148,10 +148,11 @@ def test_decontamination_without_rows(spark, docs, empty):
 def test_proximity_matches(spark):
     docs = spark.createDataFrame([(1, "rare a a a seldom a common"), (2, "seldom " + "a " * 30 + "rare common"),
                                   (3, "common seldom rare rare")], "doc_id long, text string")
-    item = spark.createDataFrame([(9, "rare common seldom")], "item_id long, text string")
+    # a word that no document has is passed over
+    item = spark.createDataFrame([(9, "rare common unheard seldom"), (8, "unheard of")], "item_id long, text string")
     found = decontamination.proximity_matches(docs, item, span=6)
     ids = {r.h: r.doc_id for r in docs.selectExpr("doc_id", "xxhash64(doc_id, text) AS h").collect()}
-    assert {ids[r.doc] for r in found.collect()} == {1, 3}
+    assert {(r.item_id, ids[r.doc]) for r in found.collect()} == {("9", 1), ("9", 3)}
 
 
 # ---- fingerprints
