@@ -52,4 +52,4 @@ def fx(spark: SparkSession, sf_dir: str) -> Fixtures:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from orderflow.plans import dashboards, feeds, orderlog, streams  # noqa: F401
+    from orderflow.plans import dashboards, feeds, history_days, orderlog, streams  # noqa: F401
