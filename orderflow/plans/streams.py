@@ -17,8 +17,10 @@ from orderflow.sources import messages
 from orderflow.sources.fixtures import positions_from
 from orderflow.streaming import gate_event_time, run_available_now, table_stream
 from orderflow.streaming.gate import gate_into_log
+from orderflow.streaming.offsets import Consumer
 from orderflow.streaming.live import kpi_row_writer, match_live, read_kpi_row, read_slots, slot_writer
 from orderflow.streaming.sinks import append_batch
+from orderflow.streaming.sketches import read_distinct, sketch_writer
 
 #: A feed is replayed in this many micro-batches; each reads its share of the feed's files, however many those are.
 MICRO_BATCHES = 4
@@ -203,6 +205,51 @@ def q_stream_unique_emails(spark, sf):
     return run_available_now(counts, "stream-emails", mode="complete")
 
 
+@register("stream_unique_emails_sketch", oracle="""
+SELECT COUNT(DISTINCT email) AS n_unique_emails, TRUE AS estimate_is_near FROM f_legacy_orders
+""")
+def q_stream_unique_emails_sketch(spark, sf):
+    """I7 in bounded space: one sketch an epoch, merged on reading; held against the exact count within four standard errors."""
+    f, out = fx(spark, sf), scratch_path(spark, "email-sketches")
+    parsed, write = messages.parse_confirmed(_confirmed_stream(spark, f)), sketch_writer(out, "email", merge_after=2)
+    run_available_now(parsed, "email-stream", foreach_batch=lambda df, epoch, _: write(df, epoch))
+    exact = legacy.unique_emails(f.legacy_orders)
+    near = F.abs(F.col("n_estimated") - F.col("n_unique_emails")) <= 4 * 1.04 / 64 * F.col("n_unique_emails")
+    return exact.select("n_unique_emails", F.lit(read_distinct(spark, out, "n_estimated").first()[0]).alias("n_estimated")) \
+        .select("n_unique_emails", near.alias("estimate_is_near"))
+
+
+@register("stream_offset_policies", oracle="""
+SELECT 'earliest' AS consumer, COUNT(*) AS n_messages, SUM(cost)::BIGINT AS cost FROM f_legacy_orders
+UNION ALL SELECT 'latest', COUNT(*), SUM(cost)::BIGINT FROM f_legacy_orders WHERE id::BIGINT % 3 > 0
+UNION ALL SELECT 'since', COUNT(*), SUM(cost)::BIGINT FROM f_legacy_orders WHERE id::BIGINT % 3 = 2
+""")
+def q_stream_offset_policies(spark, sf):
+    """A10: a feed that arrives in three parts, read by three consumers with committed progress; each run is a new query.
+
+    ``earliest`` and ``latest`` start on the first part, ``since`` at the time that the second part was complete.
+    """
+    f, path, root = fx(spark, sf), scratch_path(spark, "confirmed-feed"), scratch_path(spark, "consumers")
+    sent = feeds.confirmed_messages(f).withColumn("id", F.get_json_object("value", "$.id").cast("bigint"))
+    open_feed = lambda: messages.read_feed(spark, fmt="text", path=path)
+    starts, since = {"earliest": "earliest", "latest": "latest"}, None
+    for part in range(3):
+        (sent.where(F.col("id") % 3 == part).select("value").repartition(_per_trigger(spark)).write.mode("append").text(path))
+        if part == 1:
+            seen = spark.read.text(path).select(F.max("_metadata.file_modification_time").alias("t"))
+            # the next part's files are younger, or this would tell nothing
+            since = seen.select(F.unix_millis("t")).first()[0]
+            if since is not None:
+                starts["since"] = dt.datetime.fromtimestamp((since + 1) / 1000, dt.UTC)
+        for name, start in starts.items():
+            if name != "since" or part == 2:
+                Consumer(name, root).consume(open_feed, start, lambda df, epoch, n=name: append_batch(df, epoch, f"{root}/out-{n}"),
+                                             transform=messages.parse_confirmed)
+    counts = [spark.read.schema("cost int").parquet(f"{root}/out-{n}").agg(F.count("*").alias("n_messages"), F.sum("cost").alias("cost"))
+              .select(F.lit(n).alias("consumer"), "n_messages", "cost") for n in ("earliest", "latest", "since")]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
 @register("stream_latest_positions", oracle=ORACLE_RAW["latest_positions"])
 def q_stream_latest_positions(spark, sf):
     """J3 streaming: the newest position per known line."""

@@ -9,28 +9,31 @@ connector jar is not part of this environment).
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderflow import schemas
+from orderflow.streaming.offsets import kafka_start
 
 
 def read_feed(spark: SparkSession, *, fmt: str = "kafka", path: str | None = None,
               topics: str | None = None, options: dict | None = None,
-              starting_offsets: str = "earliest", max_per_trigger: int | None = None) -> DataFrame:
+              starting_offsets: str | dt.datetime = "earliest", max_per_trigger: int | None = None) -> DataFrame:
     """Open a message feed as a stream of ``(topic, key, value)`` rows.
 
     ``fmt='kafka'``: subscribe to ``topics`` (comma separated, A9), offsets
-    policy ``starting_offsets`` (A10; progress is kept by the query's
-    checkpoint, not by a consumer group).  ``fmt='text'``: JSON lines files
+    policy ``starting_offsets`` (A10: ``earliest``, ``latest`` or a datetime;
+    progress is kept by the query's checkpoint, not by a consumer group;
+    ``streaming.offsets`` has the policies of file feeds and named progress).  ``fmt='text'``: JSON lines files
     under ``path``; ``topic`` is then the name of the first-level folder
     ``topic=<name>`` when present.
     """
     opts = dict(options or {})
     if fmt == "kafka":
-        r = (spark.readStream.format("kafka").option("subscribe", topics)
-             .option("startingOffsets", starting_offsets))
+        r = spark.readStream.format("kafka").option("subscribe", topics).options(**kafka_start(starting_offsets))
         if max_per_trigger:
             r = r.option("maxOffsetsPerTrigger", str(max_per_trigger))
         for k, v in opts.items():
