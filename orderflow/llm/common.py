@@ -84,6 +84,11 @@ def learnable(doc_id: Column, modulus: int, held_out: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus != held_out, F.lit(False))
 
 
+def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
+    """True for rows of that fold; a null id is in no fold: it is neither learned from nor held out."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
+
+
 _KEPT: dict = {}
 
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import broadcast_if_small, learnable, least_by_hash
+from orderflow.llm.common import broadcast_if_small, held_out, learnable, least_by_hash
 
 #: Bounds of the training sample.
 DOCS_PER_LABEL, PIECES_PER_DOC, PIECE_BYTES = 1200, 4, 1024
@@ -49,6 +49,11 @@ def learnable_rows(id_col: str = "doc_id") -> Column:
     return learnable(F.col(id_col), 3, 1)
 
 
+def held_out_rows(id_col: str = "doc_id") -> Column:
+    """Rows whose crc32(doc_id as text) mod 3 is 1; not those with a null doc_id."""
+    return held_out(F.col(id_col), 3, 1)
+
+
 def pieces(data: bytes, count: int, length: int) -> list[bytes]:
     count = min(count, -(-len(data) // length))
     return [data[len(data) * k // count:][:length] for k in range(count)]

@@ -38,8 +38,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from orderflow.llm.common import broadcast_if_small, kept_by_worker, learnable, materialise
+from orderflow.llm.common import broadcast_if_small, held_out, kept_by_worker, learnable, materialise
 
 UNKNOWN = "und"
 #: Bounds of the training sample.
@@ -70,6 +71,11 @@ def learnable_rows(id_col: str = "doc_id") -> Column:
     return learnable(F.col(id_col), 4, 2)
 
 
+def held_out_rows(id_col: str = "doc_id") -> Column:
+    """Rows whose crc32(doc_id as text) mod 4 is 2; not those with a null doc_id."""
+    return held_out(F.col(id_col), 4, 2)
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters, lower-cased; none if the text has no letter."""
     words = _WORD.findall(text.lower())
@@ -335,7 +341,8 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
     text_at, key = own.index(text_col), model.key()
     # columns travel under numbers, so that clashing names can't meet
     sent = docs.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(own)])
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sent.schema.fields)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in sent.schema.fields])
+    schema = schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -357,7 +364,7 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores)],
                                              names=[*batch.schema.names, "lang_pred", "score"])
 
-    found = sent.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    found = sent.mapInArrow(run, schema)
     return found.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(own)], "lang_pred", "score")
 
 

@@ -178,7 +178,7 @@ def op4_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_crf.fit(docs.where(language_crf.learnable_rows()))
     return (language_crf.predict(docs.select("doc_id", "text"), model)
-            .select("doc_id", (~language_crf.learnable_rows()).alias("held_out"), "lang_pred", "score"))
+            .select("doc_id", language_crf.held_out_rows().alias("held_out"), "lang_pred", "score"))
 
 
 @query
@@ -203,7 +203,7 @@ def op6_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     may = compression_quality.learnable_rows()
     model = compression_quality.fit(docs.where(may), labels.where(may))
     return (compression_quality.score(docs, model)
-            .select("doc_id", (~may).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
+            .select("doc_id", compression_quality.held_out_rows().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")))
 
 
 @query

@@ -1,9 +1,11 @@
 """Columns of documents that are named like the language prediction keep their values."""
 
+import zlib
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from orderflow.llm import decontamination, line_dedup
+from orderflow.llm import compression_quality, decontamination, language_crf, line_dedup
 
 
 def test_language_stage_keeps_own_columns(spark, docs):
@@ -41,3 +43,23 @@ def test_phrase_hits_keep_own_columns(spark, docs):
     plain = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in df.collect())
     assert plain(got) == plain(want) and any(r[2] for r in plain(got))
     assert all(r["__found"] == f"__found of {r.doc_id}" for r in got.collect())
+
+
+def test_predict_keeps_nested_columns_of_any_name(spark, docs):
+    model = language_crf.fit(docs)
+    inner = F.struct(F.col("doc_id").alias("a name: with `marks`"), *[F.lit(k).alias(f"field {k}") for k in range(40)])
+    table = docs.withColumns({"own struct": inner, "own map": F.create_map(F.lit("k"), F.array(inner))})
+    got = language_crf.predict(table, model)
+    assert got.columns == [*table.columns, "lang_pred", "score"]
+    assert [f.dataType.typeName() for f in got.schema if f.name.startswith("own")] == ["struct", "map"]
+    rows = got.collect()
+    assert len(rows) == docs.count()
+    assert all(r["own struct"][0] == r.doc_id and r["own struct"]["field 39"] == 39 and r["own map"]["k"][0][1] == 0 for r in rows)
+
+
+def test_null_id_is_in_no_fold(spark):
+    ids = spark.createDataFrame([(None,), *[(i,) for i in range(12)]], "doc_id long")
+    for module, modulus, left in ((language_crf, 4, 2), (compression_quality, 3, 1)):
+        got = ids.select("doc_id", module.held_out_rows().alias("held"), module.learnable_rows().alias("learn")).collect()
+        assert (got[0].held, got[0].learn) == (False, False)
+        assert all(r.held == (zlib.crc32(str(r.doc_id).encode()) % modulus == left) and r.learn != r.held for r in got[1:])
