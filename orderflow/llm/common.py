@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderflow.session import scratch_path
@@ -100,5 +103,33 @@ def kept_by_worker(key: object, make: Callable[[], object]) -> object:
     """
     if key not in _KEPT:
         _KEPT.clear()
+        release_memory()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def release_memory() -> None:
+    """Give what this Python worker has freed back to the system.
+
+    A worker lives on for the next operator's tasks, and allocators keep
+    freed batches: without this its size stays that of its largest task.
+    """
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Batches of at most ``rows`` rows go to Python workers in the jobs run inside; the session's own size comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(own, rows) if own > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(own))

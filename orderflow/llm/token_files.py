@@ -40,13 +40,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orderflow.llm.common import kept_by_worker
+from orderflow.llm.common import arrow_batches, kept_by_worker, release_memory
 
 NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, stem string, n_docs long, n_tokens long"
 
 #: Words and pieces in the younger of two generations that a Python worker keeps (speed only).
 CACHE_ENTRIES = 250_000
+#: Documents in an Arrow batch: a task holds one batch of whole texts several times over (Arrow, pandas, ids).
+BATCH_DOCS = 500
 
 # The one normaliser and pre-tokenizer for which texts may be encoded word by word.
 # They must equal the tokenizer file's.
@@ -175,6 +177,7 @@ def _writer(out_dir: str, tokenizer_path: str, end_id: int) -> Callable:
                 at, n_docs = int(ends[-1]) if len(ends) else at, n_docs + len(pdf)
         for x, path in temp.items():
             fs.move(path, f"{root}/{stem}.{x}")
+        release_memory()
         yield pd.DataFrame({"part": [part], "stem": [stem], "n_docs": [n_docs], "n_tokens": [at]})
 
     return run
@@ -195,7 +198,8 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, *, end
             .repartitionByRange(n_files, F.col("doc_id"), F.xxhash64("text"))
             .sortWithinPartitions("doc_id", "text")
             .withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NULL_ID)))))
-    rows.mapInPandas(_writer(out_dir, tokenizer_path, end_id), MANIFEST).write.parquet(f"{out_dir}/manifest")
+    with arrow_batches(spark, BATCH_DOCS):
+        rows.mapInPandas(_writer(out_dir, tokenizer_path, end_id), MANIFEST).write.parquet(f"{out_dir}/manifest")
     return read_manifest(spark, out_dir)
 
 
