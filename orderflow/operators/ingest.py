@@ -14,7 +14,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderflow.session import checkpoint_root
+from orderflow.session import checkpoint_root, scratch_path
 
 
 def _filled(c: str):
@@ -22,10 +22,9 @@ def _filled(c: str):
     return F.coalesce(F.col(c) != "", F.lit(False))
 
 
-def request_is_valid():
-    """B1: e-mail, phone, city and a non-empty item map are all required."""
-    has_items = F.coalesce(F.size("order_info") > 0, F.lit(False))
-    return _filled("email") & _filled("phone_number") & _filled("city") & has_items
+def request_is_filled():
+    """B1: e-mail, phone and city are all required (and at least one line, see ``split_requests``)."""
+    return _filled("email") & _filled("phone_number") & _filled("city")
 
 
 def explode_lines(requests: DataFrame) -> DataFrame:
@@ -48,8 +47,8 @@ def price_lines(lines: DataFrame, menu: DataFrame) -> DataFrame:
 HEADER = ("email", "phone_number", "city", "order_created_timestamp")
 
 
-def split_requests(requests: DataFrame, menu: DataFrame, lines: DataFrame | None = None,
-                   materialize: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def split_requests(requests: DataFrame, menu: DataFrame, lines: DataFrame | None = None, materialize: bool = False,
+                   price_once: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """B1 + B10: (accepted orders with totals, priced lines of accepted orders, rejected).
 
     An order is lost whole when any of its lines has an unknown item or a
@@ -57,69 +56,54 @@ def split_requests(requests: DataFrame, menu: DataFrame, lines: DataFrame | None
     ``rejected`` has ``order_id, reason`` with reason ``invalid_request``,
     ``unknown_item`` or ``null_quantity`` (first that applies).
 
-    Requests come either as messages with an ``order_info`` map, or -- with
-    ``lines`` given -- as flat header rows plus ``(order_id, item_id,
-    quantity)`` line rows (a table layout that never gathers an order's
-    items into one value).
-
-    One pass: every request meets its lines once (``explode_outer`` of the
-    map, or a left join with the line table, keeps requests without items),
-    lines are priced by one join with the menu, and a single aggregate per
-    order yields the verdict, the header fields and the total.  Accepted
-    lines are the same priced lines semi-joined to the accepted ids (the
-    exchange on ``order_id`` is shared).  Every step is a shuffle keyed by
-    ``order_id`` or ``item_id`` with partial aggregation, so one huge order
-    is split by AQE's skew handling rather than held in one task.
-
-    The per-order verdict (one small row per order) feeds every output; with
-    ``materialize`` it is written once with a reliable ``checkpoint()`` in
-    the shared checkpoint folder, so no output recomputes the line joins and
-    the aggregate behind it.  Use it whenever more than one output is taken
-    from the split (``ingest_pipeline`` does); for a single output it only
-    adds a write.  The line-level frame is not materialised: it
-    is as large as the input, and writing it costs about as much as the
-    single extra pass that ``ok_lines`` makes over it.
+    Requests come either as messages with an ``order_info`` map
+    (``explode_lines``), or -- with ``lines`` given -- as flat header rows
+    plus ``(order_id, item_id, quantity)`` line rows (a table layout that
+    never gathers an order's items into one value).  ``order_id`` is the key
+    of the requests; lines of no request are left out.
+
+    Lines are priced by one join with the menu and reduced to a row per
+    order, partially before the shuffle, so a huge order collapses in its map
+    tasks.  Only those rows meet the requests: headers never travel with
+    lines.  Accepted lines are the priced lines semi-joined to the accepted
+    ids, which AQE broadcasts if few and else joins with a hot order split.
+
+    With ``price_once`` the priced lines are written to the shared scratch
+    folder, and verdict and accepted lines both read that table: the line
+    source is scanned and priced once.  Use it when lines are taken from the
+    split.  With ``materialize`` the verdict (a small row per order) is
+    written with a reliable ``checkpoint()``, for callers that take several
+    outputs from it.
     """
     header = [c for c in HEADER if c in requests.columns]
     extra = [c for c in ("delivery_instructions",) if c in requests.columns]
-    filled = _filled("email") & _filled("phone_number") & _filled("city")
     if lines is None:
-        x = requests.select("order_id", *header, *extra, request_is_valid().alias("valid"),
-                            F.explode_outer("order_info").alias("item_key", "quantity"))
-        x = x.withColumn("item_id", F.col("item_key").try_cast("bigint"))
+        lines = explode_lines(requests).withColumn("is_line", F.lit(True))
     else:
-        l = lines.select("order_id", F.col("item_id").cast("string").alias("item_key"),
-                         F.col("item_id").cast("bigint").alias("item_id"), "quantity")
-        heads = requests.select("order_id", *header, *extra, filled.alias("valid"))
-        # Inner join for requests with lines (AQE can split a hot order on
-        # either side of an inner join) plus the requests without any line
-        # (anti join against the distinct line order ids, which partial
-        # aggregation shrinks before the shuffle).
-        with_lines = l.join(heads, "order_id")
-        no_lines = (heads.join(l.select("order_id").distinct(), "order_id", "left_anti")
-                    .select("*", F.lit(None).cast("string").alias("item_key"),
-                            F.lit(None).cast("bigint").alias("item_id"),
-                            F.lit(None).cast("int").alias("quantity")))
-        x = with_lines.unionByName(no_lines)
-    lines = price_lines(x, menu)
-    is_line = F.col("item_key").isNotNull()
-    verdict = (lines.groupBy("order_id")
-               .agg(*[F.any_value(c).alias(c) for c in header + extra],
-                    # fields filled on the request and at least one line
-                    (F.bool_and("valid") & F.bool_or(is_line)).alias("valid"),
-                    F.bool_or(is_line & F.col("price").isNull()).alias("unknown"),
-                    F.bool_or(is_line & F.col("quantity").isNull()).alias("nullq"),
-                    F.sum("subtotal").cast("decimal(10,2)").alias("total_amount")))
-    reason = (F.when(~F.col("valid"), "invalid_request")
+        lines = lines.select("order_id", F.col("item_id").cast("bigint").alias("item_id"), "quantity",
+                             F.col("item_id").isNotNull().alias("is_line"))
+    priced = price_lines(lines, menu)
+    if price_once:
+        path = scratch_path(priced.sparkSession, "priced-lines")
+        priced.write.parquet(path)
+        priced = priced.sparkSession.read.schema(priced.schema).parquet(path)
+    per_order = (priced.groupBy("order_id")
+                 .agg(F.bool_or("is_line").alias("has_lines"),
+                      F.bool_or(F.col("is_line") & F.col("price").isNull()).alias("unknown"),
+                      F.bool_or(F.col("is_line") & F.col("quantity").isNull()).alias("nullq"),
+                      F.sum("subtotal").cast("decimal(10,2)").alias("total_amount")))
+    verdict = (requests.select("order_id", *header, *extra, request_is_filled().alias("filled"))
+               .join(per_order, "order_id", "left"))
+    reason = (F.when(~(F.col("filled") & F.coalesce("has_lines", F.lit(False))), "invalid_request")
               .when(F.col("unknown"), "unknown_item")
               .when(F.col("nullq"), "null_quantity"))
-    judged = verdict.withColumn("reason", reason)
+    judged = verdict.select("order_id", *header, *extra, "total_amount", reason.alias("reason"))
     if materialize:
         checkpoint_root(judged.sparkSession)
         judged = judged.checkpoint(eager=True)
     rejected = judged.filter(F.col("reason").isNotNull()).select("order_id", "reason")
     ok = judged.filter(F.col("reason").isNull()).select("order_id", *header, *extra, "total_amount")
-    ok_lines = (lines.join(ok.select("order_id"), "order_id", "left_semi")
+    ok_lines = (priced.join(ok.select("order_id"), "order_id", "left_semi")
                 .select("order_id", "item_id", "quantity", "price", "subtotal"))
     return ok, ok_lines, rejected
 
@@ -233,9 +217,9 @@ def ingest_pipeline(requests: DataFrame, menu: DataFrame, users_existing: DataFr
                     lines: DataFrame | None = None) -> dict[str, DataFrame]:
     """All ingest outputs from one split: the tables the original writes per order.
 
-    The per-order verdict is materialised once and shared by every output.
+    Priced lines and the per-order verdict are written once and shared by every output.
     """
-    ok, ok_lines, rejected = split_requests(requests, menu, lines, materialize=True)
+    ok, ok_lines, rejected = split_requests(requests, menu, lines, materialize=True, price_once=True)
     users = upsert_users(users_existing, ok)
     orders = ingest_orders(ok, users)
     return {"rejected": rejected, "users": users, "orders": orders,

@@ -114,14 +114,18 @@ SELECT round(s, 6) AS avg_seconds,
 FROM y"""
 
 
+#: Days between an order and its answers at most (both come within the hour here): older days are not scanned.
+DELAY_LOOKBACK_DAYS = 1
+
+
 @register("avg_accept", oracle=_delay_sql("accepted"))
 def q_avg_accept(spark, sf):
-    return daily.avg_delay(fx(spark, sf).orders_status, AS_OF, "accepted")
+    return daily.avg_delay(fx(spark, sf).orders_status, AS_OF, "accepted", DELAY_LOOKBACK_DAYS)
 
 
 @register("avg_complete", oracle=_delay_sql("completed"))
 def q_avg_complete(spark, sf):
-    return daily.avg_delay(fx(spark, sf).orders_status, AS_OF, "completed")
+    return daily.avg_delay(fx(spark, sf).orders_status, AS_OF, "completed", DELAY_LOOKBACK_DAYS)
 
 
 # -- history (F) -------------------------------------------------------------

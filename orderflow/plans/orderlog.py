@@ -34,13 +34,14 @@ users AS (SELECT user_id, email, phone_number, city, registration_date FROM f_us
 """
 
 
-def _split(spark, sf, materialize=False):
+def _split(spark, sf, materialize=False, price_once=False):
     """Requests as a table: header rows plus flat line rows (no per-order collect).
 
-    ``materialize`` where the query itself reads the verdict more than once.
+    ``materialize`` where the query itself reads the verdict more than once, ``price_once`` where it gives lines.
     """
     f = fx(spark, sf)
-    return f, ingest.split_requests(f.requests, f.menu_items, lines=f.request_lines, materialize=materialize)
+    return f, ingest.split_requests(f.requests, f.menu_items, lines=f.request_lines, materialize=materialize,
+                                    price_once=price_once)
 
 
 def _users(spark, sf):
@@ -65,7 +66,7 @@ def q_ingest_rejected(spark, sf):
 
 @register("order_lines", oracle=_INGEST + "SELECT order_id, item_id, quantity, price, subtotal FROM ok_lines")
 def q_order_lines(spark, sf):
-    return ingest.order_lines(_split(spark, sf)[1][1])
+    return ingest.order_lines(_split(spark, sf, price_once=True)[1][1])
 
 
 @register("upsert_users", oracle=_INGEST + "SELECT * FROM users")
@@ -92,7 +93,7 @@ def q_initial_events(spark, sf):
 
 @register("order_details", oracle=_INGEST + "SELECT order_id, item_id, quantity, subtotal FROM ok_lines")
 def q_order_details(spark, sf):
-    return ingest.order_details(_split(spark, sf)[1][1])
+    return ingest.order_details(_split(spark, sf, price_once=True)[1][1])
 
 
 @register("append_completions", oracle="""

@@ -80,3 +80,36 @@ def test_pipeline_outputs_agree_with_single_queries(spark):
     assert out["rejected"].count() == rej.count() == 73
     assert out["orders"].count() == ok.count() == out["orders_status"].count()
     assert out["order_details"].count() == lines.count()
+
+
+def test_lines_are_scanned_and_priced_once(spark, tmp_path):
+    f = catalog.fx(spark, SF_SMALL)
+    path = str(tmp_path / "lines")
+    f.request_lines.write.parquet(path)
+    source = spark.read.parquet(path)
+    twice = ingest.split_requests(f.requests, f.menu_items, lines=source)
+    once = ingest.split_requests(f.requests, f.menu_items, lines=source, price_once=True)
+    # after the one pass that wrote them, no output reads the line source again
+    for mine, plain in zip(once, twice, strict=True):
+        assert not any(path in name for name in mine.inputFiles())
+        assert sorted(mine.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert any(path in name for name in twice[1].inputFiles())
+
+
+def test_headers_meet_orders_not_lines(spark):
+    head = "order_id long, email string, phone_number string, city string, order_created_timestamp timestamp_ntz"
+    at = dt.datetime(2024, 1, 1)
+    req = spark.createDataFrame([(k, "a@x", "1", "Rome", at) for k in (1, 2, 3, 4)], head)
+    lines = spark.createDataFrame([(1, 1, 2), (1, 1, 2), (2, None, 1), (4, 1, 1), (4, None, None), (9, 1, 1)],
+                                  "order_id long, item_id long, quantity int")
+    ok, kept, rej = ingest.split_requests(req, seed_menu(spark), lines=lines, price_once=True)
+    # repeated lines count twice; a line without item is none; order 3 has no line; lines of no request are left out
+    assert rows(ok, "order_id", "total_amount") == [(1, Decimal("39.96")), (4, Decimal("9.99"))]
+    assert rows(rej) == [(2, "invalid_request"), (3, "invalid_request")]
+    assert kept.filter("order_id = 1").count() == 2 and kept.filter("order_id = 9").isEmpty()
+
+
+def test_empty_ingest(spark):
+    req, menu = _requests(spark, []), seed_menu(spark)
+    for once in (False, True):
+        assert all(part.isEmpty() for part in ingest.split_requests(req, menu, price_once=once))
