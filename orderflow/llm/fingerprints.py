@@ -7,11 +7,13 @@ the signs of the sums are the fingerprint. The likeness of two fingerprints
 is the share of bits they agree on, about 0.5 for unrelated texts.
 
 ``within_radius`` finds all stored fingerprints at ``radius`` or fewer
-differing bits. The bits are cut into radius + 2 blocks: two blocks agree at
-least, so for each pair of blocks a table is kept whose key has these blocks
-moved to the front. Queries meet the stored fingerprints by equal keys, the
-distance is checked within the join, and a pair found in several tables is
-kept in the first one. No radius is approximate, and no bucket is capped.
+differing bits. The bits are cut into blocks, each of which may differ in at
+most 0 or 1 bits; these add up so that a pair within the radius keeps to them
+in one block at least. A stored fingerprint has a row per block (4 at radius
+6), and a query looks each block up as it is and with every bit flipped that
+may differ. They meet by equal keys, the distance is checked within the join,
+and a pair found in several blocks is kept in the first one. No radius is
+approximate, and no bucket is capped.
 
 ``edited`` makes for each document the text whose last third is replaced by
 the beginning of the next document (descending doc_id, the first after the
@@ -29,7 +31,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -162,9 +163,14 @@ def words_of(fp: Column) -> list[Column]:
     return [F.conv(F.hex(F.substring(fp, 8 * k + 1, 8)), 16, -10).cast("long") for k in (0, 1)]
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    n = radius + 2
-    return [(BITS * k // n, BITS * (k + 1) // n) for k in range(n)]
+def _blocks(radius: int) -> list[tuple[int, int, int]]:
+    """(lo, hi, may): bits lo to hi, of which ``may`` (0 or 1) may differ; blocks that no search needs are left out.
+
+    A pair that differs in over ``may`` bits of every block differs in the sum of may + 1, radius + 1, at least.
+    """
+    n = max(3, radius // 2 + 1)  # no more than 43 bits each, and may + 1 is 2 at most
+    parts = [(radius + 1) * k // n for k in range(n + 1)]
+    return [(BITS * k // n, BITS * (k + 1) // n, parts[k + 1] - parts[k] - 1) for k in range(n) if parts[k + 1] > parts[k]]
 
 
 def _cut(a: Column, b: Column, lo: int, hi: int) -> Column:
@@ -177,13 +183,16 @@ def _cut(a: Column, b: Column, lo: int, hi: int) -> Column:
     return part(a, lo, 64) + part(b, 0, hi - 64) * (1 << (64 - lo))
 
 
-def block_tables(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Rows (a, b, ...) once per pair of blocks, with that pair's ``blocks`` mask and ``key``."""
-    cuts = [_cut(F.col("a"), F.col("b"), lo, hi) for lo, hi in _blocks(radius)]
-    width = max(hi - lo for lo, hi in _blocks(radius))
-    tables = [F.struct(F.lit(1 << i | 1 << j).alias("blocks"), (cuts[i] * (1 << width) + cuts[j]).alias("key"))
-              for i, j in combinations(range(len(cuts)), 2)]
-    return fps.withColumn("t", F.explode(F.array(*tables))).select("*", "t.blocks", "t.key").drop("t")
+def block_tables(fps: DataFrame, radius: int = RADIUS, *, flips: bool = False) -> DataFrame:
+    """Rows (a, b, ...) once per block, with its number ``block`` and its bits ``key``; with ``flips``, once more for
+    each bit that may differ, flipped."""
+    blocks = _blocks(radius)
+    keys = F.array(*[_cut(F.col("a"), F.col("b"), lo, hi) for lo, hi, _ in blocks])
+    at = [F.struct(F.lit(k).alias("block"), F.lit(flip).cast("long").alias("flip"))
+          for k, (lo, hi, may) in enumerate(blocks)
+          for flip in [0] + [1 << bit for bit in range(hi - lo) if flips and may]]
+    return (fps.withColumn("t", F.explode(F.array(*at)))
+            .select("*", "t.block", keys[F.col("t.block")].bitwiseXOR(F.col("t.flip")).alias("key")).drop("t"))
 
 
 def within_radius(queries: DataFrame, stored: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -191,17 +200,14 @@ def within_radius(queries: DataFrame, stored: DataFrame, radius: int = RADIUS) -
 
     Both sides are made distinct; equal fingerprints are found too, with 0 bits.
     """
-    q = block_tables(queries.select("a", "b").distinct(), radius) \
-        .select(F.col("a").alias("qa"), F.col("b").alias("qb"), "blocks", "key")
+    q = block_tables(queries.select("a", "b").distinct(), radius, flips=True) \
+        .select(F.col("a").alias("qa"), F.col("b").alias("qb"), "block", "key")
     s = block_tables(stored.select("a", "b").distinct(), radius)
     xa, xb = F.col("a").bitwiseXOR(F.col("qa")), F.col("b").bitwiseXOR(F.col("qb"))
     bits = F.bit_count(xa) + F.bit_count(xb)
-    agree = F.lit(0)
-    for k, (lo, hi) in enumerate(_blocks(radius)):
-        agree = agree + F.when(_cut(xa, xb, lo, hi) == 0, 1 << k).otherwise(0)
-    rest = agree.bitwiseAND(agree - 1)
-    first = agree.bitwiseAND(-agree).bitwiseOR(rest.bitwiseAND(-rest))  # the two lowest agreeing blocks
-    return (s.alias("s").join(q.alias("q"), (F.col("s.blocks") == F.col("q.blocks")) & (F.col("s.key") == F.col("q.key"))
-                              & (bits <= radius) & (first == F.col("q.blocks")))
+    first = F.coalesce(*[F.when(F.bit_count(_cut(xa, xb, lo, hi)) <= may, k)
+                         for k, (lo, hi, may) in enumerate(_blocks(radius))])
+    # size estimates leave out what explode adds, so that a side of many times the broadcast threshold would be broadcast
+    return (s.alias("s").join(q.hint("merge").alias("q"), (F.col("s.block") == F.col("q.block"))
+                              & (F.col("s.key") == F.col("q.key")) & (bits <= radius) & (first == F.col("q.block")))
             .select("a", "b", "qa", "qb", bits.alias("bits")))
-

@@ -188,13 +188,15 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = fingerprints.words_of(F.col("fp"))
     rows = rows.withColumns({"a": a, "b": b})
     per_fp = rows.groupBy("a", "b").agg(F.count("*").alias("n"))
-    queries = rows.where(F.col("doc_id") % 20 == 0).select("a", "b")
+    asks = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    queries = rows.where(asks)
     near = (fingerprints.within_radius(queries, per_fp).join(per_fp, ["a", "b"])
             .groupBy(F.col("qa").alias("a"), F.col("qb").alias("b")).agg(F.sum("n").alias("n_near")))
-    return (rows.join(near, ["a", "b"], "left")
+    # only the queries' rows meet their counts; the others have none and are not shuffled
+    return (queries.join(near, ["a", "b"], "left")
+            .unionByName(rows.where(~asks).withColumn("n_near", F.lit(None).cast("long")))
             .select("doc_id", "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"),
-                    F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next",
-                    F.when(F.col("doc_id") % 20 == 0, F.col("n_near")).alias("n_near")))
+                    F.lower(F.hex("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", "n_near"))
 
 
 @query
