@@ -13,4 +13,4 @@ def test_list_names_every_query():
     assert r.returncode == 0, r.stderr[-2000:]
     names = {line.split()[0] for line in r.stdout.splitlines() if line.strip()}
     assert {"daily_kpis", "gate_batch", "gate_stream", "price_density", "stream_slots"} <= names
-    assert len(names) == 79
+    assert len(names) == 87
